@@ -22,9 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ragged, tables
-
-BITS = 24
+from . import bitmaps, ragged, tables
 
 
 def _tokens(column: pa.Array) -> tuple:
@@ -56,7 +54,7 @@ def _item_marks(k: int, w: int):
 
 def _doc_marks(k: int, w: int, bitmap, shorts: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
+        bits = bitmaps.opened(bitmap)
         for batch in batches:
             for lo, hi in ragged.slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
@@ -65,7 +63,7 @@ def _doc_marks(k: int, w: int, bitmap, shorts: list[int]):
                 at, fp = ragged.winnow(h, ptr, k, w)
                 owns, fps = [], []
                 for at, fp in [(at, fp), *((np.flatnonzero(x := ragged.inside(ptr, m)), ragged.grams(h, m)[x]) for m in shorts)]:
-                    hit = bits[fp & np.uint64((1 << BITS) - 1)]
+                    hit = bitmaps.maybe(bits, fp)
                     owns.append(own[at[hit]])
                     fps.append(fp[hit])
                 own, fp = np.concatenate(owns), np.concatenate(fps)
@@ -116,19 +114,12 @@ def _extend(size: int):
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
     w = window - k + 1
     items = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     marks = tables.cut(items.mapInArrow(_item_marks(k, w), "item_id string, fp long, short int").distinct())
-    # 2**BITS bits whatever the benchmark: one row for each 64 of them at most.
-    low = F.col("fp").bitwiseAND((1 << BITS) - 1)
-    held = marks.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(fp & 63 as int))")).alias("bits")).collect()
-    bitmap = np.zeros(1 << (BITS - 6), np.int64)
-    for r in held:
-        bitmap[r["at"]] = r["bits"]
     shorts = sorted(r[0] for r in marks.where("short > 0").select("short").distinct().collect())
     docs = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
+    shared = bitmaps.build(marks.select("fp"))
     rows = tables.cut(docs.mapInArrow(_doc_marks(k, w, shared, shorts), "key long, doc_id long, n_words long, fps array<long>, text string"))
     some = rows.where("size(fps) > 0")
     pairs = some.select("key", F.explode("fps").alias("fp")).join(marks.select("fp", "item_id"), "fp").select("key", "item_id").distinct()

@@ -3,17 +3,23 @@
 A text's set is its distinct shingles. Two collections of m subkeys, each of t
 minhashes, give m * m tables: the key of table (i, j) joins subkey i of the
 first collection with subkey j of the second. So m * m tables of 2t-minhash
-keys cost 2mt minhashes instead of 2t * m * m. With m = 8 and t = 2 a pair of
-similarity 0.8 shares a key with probability (1 - (1 - 0.8**2)**8)**2 =
-0.9994.
-
-Texts of equal sets are one node. Each bucket's nodes are tried against its
-least node (nodes are hashes, so each table tries others), pairs are confirmed
-on the full sets of whole texts, and confirmed links give components. Then
+keys cost 2mt minhashes instead of 2t * m * m. With m = 10 and t = 2 a pair of
+similarity 0.8 shares a key with probability (1 - (1 - 0.8**2)**10)**2 =
+0.99993.
+
+Texts of equal sets are one node. Each bucket's nodes are tried against four
+of its own, the first in four orders (nodes are hashes, so each table tries
+others), pairs are confirmed on the full sets of whole texts, and confirmed
+links give components. Then
 every bucket that still holds several components has its pairs across them
 tried, so each candidate pair was either tested or already connected: there is
 no cap on buckets.
 
+Such a pair may meet in many buckets; it counts in those of the first subkey
+that its sets share in the first collection. Pairs are tried only if they pass an exact filter: each set has a bitmap of
+parities, a bit for each residue of its shingles, and two sets differ in at
+least as many shingles as their bitmaps differ in bits.
+
 Null and empty texts have an empty set and stand alone. Rows that are
 repeated share a node. Rows without doc_id never name a component; other
 columns are not read.
@@ -28,10 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ragged, tables
+from . import bitmaps, ragged, tables
 from .components import components
 
-_RNG = np.random.default_rng(5)
+#: Of a set's parity bitmap; a multiple of 64.
+BITS = 512
+#: Orders of nodes: by their distance, as XOR, from these.
+ORDERS = (0, -1, 0x2AAAAAAAAAAAAAAA, ~0x2AAAAAAAAAAAAAAA)
 
 
 def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,20 +86,23 @@ def _summaries(k: int, m: int, t: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(m, t)
         for batch in batches:
-            for lo, hi in ragged.slices(batch.column("text"), 1 << 20):
+            for lo, hi in ragged.slices(batch.column("text"), 1 << 20, 2048):
                 part = batch.slice(lo, hi - lo)
                 own, g = shingles(part.column("text"), k)
                 n = np.bincount(own, minlength=len(part))
                 sums = np.zeros((2, len(part)), np.uint64)
                 sig = np.zeros((len(part), 2 * m), np.uint64)
+                odd = (np.bincount(own * BITS + (g >> np.uint64(40)).astype(np.int64) % BITS, minlength=len(part) * BITS) & 1).astype(bool)
+                bits = np.packbits(odd.reshape(len(part), BITS), axis=1, bitorder="little").view(np.int64)
                 some = np.flatnonzero(n)
                 if len(some):
                     heads = np.searchsorted(own, some)
                     sums[0, some] = np.add.reduceat(g, heads)
                     sums[1, some] = np.add.reduceat(ragged.mix(g ^ ragged.TOP), heads)
                     sig[some] = sign(g, heads)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(ragged.signed(sig.reshape(-1))), 2 * m).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(ragged.signed(s)) for s in sums), lists], ["key", "doc_id", "n", "s1", "s2", "sig"])
+                sig >>= np.uint64(32)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (ragged.signed(sig), bits)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(ragged.signed(s)) for s in sums), *lists], ["key", "doc_id", "n", "s1", "s2", "sig", "bits"])
 
     return run
 
@@ -112,21 +124,39 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 8, t: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, t: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = tables.cut(docs.mapInArrow(_summaries(shingle, m, t), "key long, doc_id long, n long, s1 long, s2 long, sig array<long>"))
+    rows = tables.cut(docs.mapInArrow(_summaries(shingle, m, t), "key long, doc_id long, n long, s1 long, s2 long, sig array<long>, bits array<long>"))
     some = rows.where("n > 0")
     # A node: the least key of those with one set.
-    sets = tables.cut(some.groupBy("n", "s1", "s2").agg(F.min("key").alias("node"), F.min("doc_id").alias("id"), F.any_value("sig").alias("sig")))
-    a = sets.select("node", "n", "sig", F.posexplode(F.slice("sig", 1, m)).alias("i", "x"))
-    keys = a.select("node", "n", "i", "x", F.posexplode(F.slice("sig", m + 1, m)).alias("j", "y")).select(F.xxhash64("i", "x", "j", "y").alias("bucket"), "node", "n")
-    heads = tables.cut(keys.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node < last").select("bucket", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
-    members = tables.cut(keys.join(heads, "bucket"))
-    # Sets of too different sizes can't be similar enough.
-    fits = lambda x, y: (F.lit(percent) * F.greatest(x, y)) <= F.lit(100) * F.least(x, y)
-    first = tables.cut(members.where((F.col("node") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    texts = tables.cut(docs.join(tables.cut(members.select(F.col("node").alias("key")).distinct()), "key", "left_semi").select("key", "text").dropDuplicates(["key"]))
+    sets = tables.cut(some.groupBy("n", "s1", "s2").agg(F.min("key").alias("node"), F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("bits").alias("bits")))
+    a = sets.select("node", "sig", F.posexplode(F.slice("sig", 1, m)).alias("i", "x"))
+    keys = a.select("node", "i", "x", F.posexplode(F.slice("sig", m + 1, m)).alias("j", "y")).select(F.xxhash64("i", "x", "j", "y").alias("bucket"), "node", "i")
+    heads = tables.cut(keys.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket"))
+    members = tables.cut(keys.join(heads, "bucket").select("bucket", "node", F.col("i").cast("byte").alias("i")))
+    # What two sets may differ in at most: similarity s, |x| + |y| = t shingles, t * (1 - s) / (1 + s) of them in one only.
+    words = range(BITS // 64)
+    packed = [F.shiftleft(F.col("sig")[i], 32).bitwiseOR(F.col("sig")[i + 1] if i + 1 < m else F.lit(0)).alias(f"p{i // 2}") for i in range(0, m, 2)]
+    marks = tables.cut(sets.join(tables.cut(members.select("node").distinct()), "node", "left_semi").select("node", "n", *(F.col("bits")[i].alias(f"b{i}") for i in words), *packed))
+    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o{i}"))) for i in words), F.lit(0))
+    fits = lambda x, y: (F.lit(percent) * F.greatest(x, y) <= F.lit(100) * F.least(x, y)) & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (x + y))
+    other = marks.select(F.col("node").alias("node2"), F.col("n").alias("n2"), *(F.col(f"b{i}").alias(f"o{i}") for i in words), *(F.col(f"p{i}").alias(f"q{i}") for i in range(len(packed))))
+    half = lambda c, i: F.shiftrightunsigned(F.col(f"{c}{i // 2}"), 32) if i % 2 == 0 else F.col(f"{c}{i // 2}").bitwiseAND(0xFFFFFFFF)
+    first_shared = F.lit(m)
+    for i in range(m - 1, -1, -1):
+        first_shared = F.when(half("p", i) == half("q", i), i).otherwise(first_shared)
+
+    def filtered(pairs: DataFrame) -> DataFrame:
+        """pairs: node, node2. Those that may be links, as a and b."""
+        return pairs.join(marks, "node").join(other, "node2").where(fits(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+    first_by = lambda c: F.min(F.col("node").bitwiseXOR(c)).bitwiseXOR(c)
+    leads = tables.cut(members.groupBy("bucket").agg(F.array_distinct(F.array(*map(first_by, ORDERS))).alias("leads")))
+    tried = members.join(leads, "bucket").select("node", F.explode("leads").alias("lead")).where("node <> lead")
+    first = tables.cut(filtered(tried.select(F.least("node", "lead").alias("node"), F.greatest("node", "lead").alias("node2")).distinct()))
+    nodes = marks.select(F.col("node").alias("key"))
+    texts = tables.cut(bitmaps.sieve(docs.select("key", "text"), "key", bitmaps.build(nodes)).join(nodes, "key", "left_semi").dropDuplicates(["key"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
@@ -136,11 +166,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
     links = confirmed(first)
     label = tables.cut(components(links))
     # Buckets that still hold several components: pairs across them that weren't tested.
-    held = tables.cut(members.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c")))
+    held = tables.cut(members.join(label, "node", "left").select("bucket", "node", "i", F.coalesce("component", "node").alias("c")))
     open_ = tables.cut(held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket"))
-    left = tables.cut(held.join(open_, "bucket", "left_semi"))
-    right = left.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    across = left.join(right, "bucket").where((F.col("c") < F.col("c2")) & fits(F.col("n"), F.col("n2")))
+    left = tables.cut(held.join(open_, "bucket", "left_semi").join(marks, "node"))
+    right = left.select("bucket", F.col("c").alias("c2"), F.col("node").alias("node2")).join(other, "node2")
+    across = left.join(right, "bucket").where((F.col("c") < F.col("c2")) & fits(F.col("n"), F.col("n2")) & (first_shared == F.col("i")))
     across = across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     rest = tables.cut(across.join(first, ["a", "b"], "left_anti"))
     if rest.take(1):

@@ -27,8 +27,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `most` bytes of text, or of one row."""
+def slices(column: pa.Array, most: int = 2 << 20, rows: int = 8192) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `most` bytes of text and so many rows, or of one row."""
     n = len(column)
     if not n:
         return
@@ -36,8 +36,9 @@ def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + rows)
+        yield lo, hi
+        lo = hi
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
