@@ -139,7 +139,7 @@ def train(texts: list[str], toxic: list[int], odds: float = 1.0, rounds: int = 5
     flat, of = np.concatenate(feats), np.repeat(np.arange(len(feats)), size)
     own = ragged.owners(ptr)
     # In how many toxic and clean documents each feature is.
-    pair = np.unique(np.stack([own, ids]), axis=1)
+    pair = np.divmod(np.unique(own * len(feats) + ids), len(feats))
     bounds = np.concatenate([[0], np.cumsum(size)])
     seen = [np.unique(np.concatenate([flat[bounds[w] : bounds[w + 1]] for w in pair[1][lo:hi]])) for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(pair[0], np.arange(len(texts) + 1)))) if lo < hi]
     which = [i for i in range(len(texts)) if ptr[i] < ptr[i + 1]]
@@ -178,7 +178,7 @@ def train(texts: list[str], toxic: list[int], odds: float = 1.0, rounds: int = 5
         par["w"][np.setdiff1d(np.arange(SIZE), seen_once, assume_unique=True)] = 0
     model.weights, model.bias, model.trans, model.first = par["w"], float(par["b"][0]), par["t"], par["f"]
     s = (model.bias + np.bincount(of, model.weights[flat], minlength=len(feats)))[ids]
-    x = model.evidence(model.marginals(s, ptr), ptr)
+    x = np.concatenate([model.evidence(model.marginals(s[ptr[i] : ptr[min(i + 200, len(texts))]], own_ptr), own_ptr) for i in range(0, len(texts), 200) for own_ptr in [ptr[i : min(i + 200, len(texts)) + 1] - ptr[i]]])
     fit = np.zeros(3)
     for _ in range(30):  # Newton's method with a small penalty
         q = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
@@ -231,7 +231,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1000, clean: int = 3000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 600, clean: int = 2000) -> Model:
     """A model of at most per_class toxic and `clean` other documents, none held out; the first by hash of doc_id."""
     rows = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = tables.cut(rows)
