@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archlake.functions import extras as X
@@ -69,8 +69,7 @@ add("filter_stop_at_dir", on_members(lambda m: m.where(glob.matches(F.col("name"
 add("filter_suffix", lambda s, d: table(s, d, "pages").where(glob.has_suffix(F.col("url"), ".HTML:.zip")).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)([.]html|[.]zip)$')", "")
 add("filter_date_range", lambda s, d: table(s, d, "events").where(sync.between(F.col("ts"), "2024-01-05 00:00:00", "2024-01-20 00:00:00")).select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'", "")
 add("text_binary", on_members(lambda m: m.select("archive", "idx", S.is_text(F.col("text")).alias("is_text"), S.is_text_buffer(F.col("text")).alias("is_text_buffer"), S.is_ascii(F.col("text")).alias("is_ascii"))), r"SELECT archive, idx, regexp_matches(text, '[\t\n\r\x20-\x{10FFFF}]') AND NOT regexp_matches(text, '[\x00-\x06\x0E-\x19]') AS is_text, regexp_matches(text, '[\x20-\x{10FFFF}]') AND NOT regexp_matches(text, '[\x00-\x06\x0E-\x19]') AS is_text_buffer, regexp_full_match(text, '[\x00-\x7F]*') AS is_ascii FROM members")
-_T = F.col("text")
-add("grep_modes", on_members(lambda m: m.select("idx", search.contains(_T, "The").alias("plain"), search.contains(_T, "the", True).alias("any_case"), search.contains(_T, "with", False, True).alias("word"), search.contains(_T, "With", True, True).alias("word_any_case"))), "SELECT idx, contains(text, 'The') AS plain, contains(upper(text), 'THE') AS any_case, regexp_matches(text, '(^|[^A-Za-z0-9_])with([^A-Za-z0-9_]|$)') AS word, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])with([^A-Za-z0-9_]|$)') AS word_any_case FROM members")
+add("grep_modes", on_members(lambda m: m.select("idx", search.contains(F.col("text"), "The").alias("plain"), search.contains(F.col("text"), "the", True).alias("any_case"), search.contains(F.col("text"), "with", False, True).alias("word"), search.contains(F.col("text"), "With", True, True).alias("word_any_case"))), "SELECT idx, contains(text, 'The') AS plain, contains(upper(text), 'THE') AS any_case, regexp_matches(text, '(^|[^A-Za-z0-9_])with([^A-Za-z0-9_]|$)') AS word, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])with([^A-Za-z0-9_]|$)') AS word_any_case FROM members")
 add("grep_lines", on_members(lambda m: search.lines(m, "[Ll]icensed under")), ", l AS (SELECT archive, name, string_split(text, chr(10)) AS ls FROM members) SELECT archive, name, i AS line_no, ls[i] AS line FROM l, unnest(range(1, len(ls) + 1)) AS t(i) WHERE regexp_matches(ls[i], '[Ll]icensed under')")
 add("grep_names", on_members(lambda m: search.names(m, "[Ll]icensed under")), "SELECT DISTINCT archive, name FROM members WHERE regexp_matches(text, '[Ll]icensed under')")
 
@@ -145,7 +144,7 @@ add("dos_time_roundtrip", lambda s, d: table(s, d, "events").select("event_id",
     "WITH x AS (SELECT event_id, ts, to_timestamp(((epoch(date_trunc('second', ts))::BIGINT + 1) // 2) * 2)::TIMESTAMP AS up FROM events) SELECT event_id, ((year(ts) - 1980) << 25) | (month(ts) << 21) | (day(ts) << 16) | (hour(ts) << 11) | (minute(ts) << 5) | (second(ts) >> 1) AS packed, strftime(date_trunc('second', ts) - to_seconds(second(ts) % 2), '%Y-%m-%d %H:%M:%S') AS back, ((year(up) - 1980) << 25) | (month(up) << 21) | (day(up) << 16) | (hour(up) << 11) | (minute(up) << 5) | (second(up) >> 1) AS rounded_up FROM x", "")
 add("name_parts", on_members(lambda m: m.select("idx", S.junked(F.col("name")).alias("last"), S.parent(F.col("name")).alias("parent"), S.safe_path(F.concat(F.lit("/../"), "name")).alias("safe"), S.shown_name(F.concat("archive", F.lit("\t"))).alias("shown"))), "SELECT idx, string_split(name, '/')[-1] AS last, regexp_replace(name, '/[^/]*$', '') AS parent, '__/' || name AS safe, archive || '^I' AS shown FROM members")
 add("line_endings", on_members(lambda m: m.select("idx", F.md5(S.to_crlf(F.col("text"))).alias("crlf"), F.md5(S.to_lf(S.to_crlf(F.col("text")))).alias("lf"))), "SELECT idx, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10))) AS crlf, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS lf FROM members")
-add("sorted_names", on_members(lambda m: m.select("archive", "name", F.row_number().over(__import__("pyspark").sql.Window.partitionBy("archive").orderBy(F.encode("name", "UTF-8"))).cast("long").alias("place"))), "SELECT archive, name, row_number() OVER (PARTITION BY archive ORDER BY encode(name)) AS place FROM members")
+add("sorted_names", on_members(lambda m: m.select("archive", "name", F.row_number().over(Window.partitionBy("archive").orderBy(F.encode("name", "UTF-8"))).cast("long").alias("place"))), "SELECT archive, name, row_number() OVER (PARTITION BY archive ORDER BY encode(name)) AS place FROM members")
 
 
 def _fields(m: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import os
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archlake.functions import scalars as S
@@ -26,7 +26,7 @@ def packed(files: DataFrame, method: int = 8, suffixes_stored: str = "none") ->
     df = files.withColumn("tried", codecs.encoded(wanted, F.col("content")))
     smaller = F.octet_length("tried") < F.octet_length("content")
     return df.select(
-        "archive", F.row_number().over(__import__("pyspark").sql.Window.partitionBy("archive").orderBy(F.encode("name", "UTF-8"))).cast("long").alias("idx"), "name",
+        "archive", F.row_number().over(Window.partitionBy("archive").orderBy(F.encode("name", "UTF-8"))).cast("long").alias("idx"), "name",
         F.when(smaller, wanted).otherwise(0).alias("method"), F.when(smaller, F.col("tried")).otherwise(F.col("content")).alias("payload"),
         F.crc32("content").alias("crc"), F.octet_length("content").cast("long").alias("usize"), S.dos_packed(F.col("mtime")).alias("dos_datetime"), F.lit("").alias("comment"),
     )
