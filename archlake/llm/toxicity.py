@@ -18,6 +18,7 @@ scored and not held out. Other columns are not read.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,14 +45,14 @@ def _chain(s: np.ndarray, start: np.ndarray, trans: np.ndarray, first: np.ndarra
     """Forward and backward vectors (n, 2) and steps (n, 2, 2) of the chain with toxic scores s."""
     n = len(s)
     e = np.exp(np.clip(s, -30, 30))
-    m = np.empty((n, 2, 2))
+    m = np.empty((n, 2, 2), np.float32)
     m[:] = np.exp(trans)
     m[start] = np.exp(first)  # both rows alike: what came before doesn't count
     m[:, :, 1] *= e[:, None]
     m /= m.max(axis=(1, 2), keepdims=True)
     steps = max(1, int(np.sqrt(n)))
     blocks = -(-n // steps)
-    full = np.broadcast_to(np.eye(2), (blocks * steps, 2, 2)).copy()
+    full = np.broadcast_to(np.eye(2, dtype=np.float32), (blocks * steps, 2, 2)).copy()
     full[:n] = m
     full = full.reshape(blocks, steps, 2, 2).transpose(1, 0, 2, 3).copy()
     prod = np.broadcast_to(np.eye(2), (blocks, 2, 2)).copy()
@@ -68,7 +69,7 @@ def _chain(s: np.ndarray, start: np.ndarray, trans: np.ndarray, first: np.ndarra
         out[i] = b
         b = prod[i] @ b
         b /= b.sum()
-    alpha, beta = np.empty((steps, blocks, 2)), np.empty((steps, blocks, 2))
+    alpha, beta = np.empty((steps, blocks, 2), np.float32), np.empty((steps, blocks, 2), np.float32)
     for i in range(steps):
         into = np.einsum("bi,bij->bj", into, full[i])
         into /= into.sum(1, keepdims=True)
@@ -134,21 +135,23 @@ def train(texts: list[str], toxic: list[int], odds: float = 1.0, rounds: int = 5
         return model
     _, at, ids = np.unique(h, return_index=True, return_inverse=True)
     raw = low.tobytes()
-    feats = [features(raw[a:b].decode()) for a, b in zip(ws[at].tolist(), we[at].tolist())]
-    size = np.array([len(f) for f in feats])
-    flat, of = np.concatenate(feats), np.repeat(np.arange(len(feats)), size)
+    size, flat = [], array("q")
+    for x, y in zip(ws[at].tolist(), we[at].tolist()):
+        f = features(raw[x:y].decode())
+        size.append(len(f))
+        flat.extend(f)
+    size, flat = np.array(size), np.frombuffer(flat, np.int64)
+    of, n_words = np.repeat(np.arange(len(size)), size), len(size)
     own = ragged.owners(ptr)
     # In how many toxic and clean documents each feature is.
-    pair = np.divmod(np.unique(own * len(feats) + ids), len(feats))
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    seen = [np.unique(np.concatenate([flat[bounds[w] : bounds[w + 1]] for w in pair[1][lo:hi]])) for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(pair[0], np.arange(len(texts) + 1)))) if lo < hi]
-    which = [i for i in range(len(texts)) if ptr[i] < ptr[i + 1]]
-    df = np.zeros((2, SIZE))
-    for i, f in zip(which, seen):
-        df[int(y_doc[i]), f] += 1
+    bounds, df = np.concatenate([[0], np.cumsum(size)]), np.zeros((2, SIZE))
+    for i in range(len(texts)):
+        words = np.unique(ids[ptr[i] : ptr[i + 1]])
+        if len(words):
+            df[int(y_doc[i]), np.unique(np.concatenate([flat[bounds[w] : bounds[w + 1]] for w in words]))] += 1
     rate = (df[1] / y_doc.sum()) / (df[1] / y_doc.sum() + (df[0] + 0.5) / (~y_doc).sum())
     telling = (rate > 0.96) & (df[1] >= 4)
-    word_tells = np.bincount(of, telling[flat], minlength=len(feats)) > 0
+    word_tells = np.bincount(of, telling[flat], minlength=n_words) > 0
     y = word_tells[ids] & y_doc[own]
     start = np.zeros(len(h), bool)
     start[ptr[:-1][ptr[:-1] < ptr[1:]]] = True
@@ -162,13 +165,13 @@ def train(texts: list[str], toxic: list[int], odds: float = 1.0, rounds: int = 5
     code = (np.roll(y_, 1).astype(int) * 2 + y_)[~start_]
     real_t, real_f = np.bincount(code, minlength=4).reshape(2, 2), np.bincount(y_[start_].astype(int), minlength=2)
     for step in range(1, rounds + 1):
-        s = (par["b"] + np.bincount(of, par["w"][flat], minlength=len(feats)))[ids_]
+        s = (par["b"] + np.bincount(of, par["w"][flat], minlength=n_words))[ids_]
         alpha, beta, m = _chain(s, start_, par["t"], par["f"])
         both = alpha * beta
         p = both[:, 1] / both.sum(1)
         xi = alpha[:-1, :, None] * m[1:] * beta[1:, None, :]
         xi = (xi / xi.sum(axis=(1, 2), keepdims=True))[~start_[1:]].sum(0)
-        g = np.bincount(ids_, y_ - p, minlength=len(feats))
+        g = np.bincount(ids_, y_ - p, minlength=n_words)
         grad = {"w": np.bincount(flat, g[of], minlength=SIZE) - penalty * len(few) * par["w"], "b": np.array([(y_ - p).sum()]), "t": real_t - xi, "f": real_f - np.array([(1 - p[start_]).sum(), p[start_].sum()])}
         for k in par:
             a, b = mom[k]
@@ -177,7 +180,7 @@ def train(texts: list[str], toxic: list[int], odds: float = 1.0, rounds: int = 5
             par[k] += 0.2 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
         par["w"][np.setdiff1d(np.arange(SIZE), seen_once, assume_unique=True)] = 0
     model.weights, model.bias, model.trans, model.first = par["w"], float(par["b"][0]), par["t"], par["f"]
-    s = (model.bias + np.bincount(of, model.weights[flat], minlength=len(feats)))[ids]
+    s = (model.bias + np.bincount(of, model.weights[flat], minlength=n_words))[ids]
     x = np.concatenate([model.evidence(model.marginals(s[ptr[i] : ptr[min(i + 200, len(texts))]], own_ptr), own_ptr) for i in range(0, len(texts), 200) for own_ptr in [ptr[i : min(i + 200, len(texts)) + 1] - ptr[i]]])
     fit = np.zeros(3)
     for _ in range(30):  # Newton's method with a small penalty
@@ -231,7 +234,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 600, clean: int = 2000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 400, clean: int = 1200) -> Model:
     """A model of at most per_class toxic and `clean` other documents, none held out; the first by hash of doc_id."""
     rows = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = tables.cut(rows)
