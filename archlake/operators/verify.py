@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archlake.sources import codecs
+from archlake.sources import codecs, crypto
 
 
 def _found(df: DataFrame, check: str, severity: int, detail: Column) -> DataFrame:
@@ -21,10 +21,11 @@ def headers(members: DataFrame, local: DataFrame, fields: tuple[str, ...] = ("me
     return _found(out, "header", 2, F.concat_ws(",", "fields"))
 
 
-def contents(payloads: DataFrame) -> DataFrame:
-    """Members that can't be decoded, or not to their length and checksum."""
-    d = payloads.withColumn("raw", codecs.decoded(F.col("method"), F.col("payload")))
-    why = F.when(F.col("raw").isNull(), "not decoded").when(F.octet_length("raw") != F.col("usize"), "length").when(F.crc32("raw") != F.col("crc"), "checksum")
+def contents(payloads: DataFrame, password: bytes | None = None) -> DataFrame:
+    """Members that can't be opened or decoded, or not to their length and checksum, which AES in its second form leaves to its tag."""
+    d = crypto.decrypted(payloads, password) if password is not None else payloads
+    d = d.withColumn("raw", F.when(~F.col("encrypted"), codecs.decoded(F.col("method"), F.col("payload"), F.col("flags"), F.col("usize"))))
+    why = F.when(F.col("encrypted"), "encrypted").when(F.col("raw").isNull(), "not decoded").when(F.octet_length("raw") != F.col("usize"), "length").when((F.col("aes_version") != 2) & (F.crc32("raw") != F.col("crc")), "checksum")
     return _found(d.withColumn("why", why).where("why is not null"), "content", 3, F.col("why"))
 
 

@@ -11,7 +11,7 @@ from archlake.functions import extras as X
 from archlake.functions import glob
 from archlake.functions import scalars as S
 from archlake.operators import dedup, listing, optimize, search, spans, split, sync, verify
-from archlake.sources import codecs, ziparchive, zipwriter
+from archlake.sources import codecs, crypto, ziparchive, zipwriter
 
 from .views import FS_SQL, MEMBERS_SQL, PERMILLE_SQL, members, on_disk, table
 
@@ -182,3 +182,15 @@ add("zip_salvage", lambda s, d: ziparchive.tables_of(_archives(s, d), "members",
 add("zip_archives", lambda s, d: ziparchive.tables_of(_archives(s, d), "archives").select("archive", "entry_count", "status"), "SELECT archive, count(*) AS entry_count, 'ok' AS status FROM members GROUP BY archive")
 add("zip_contents", lambda s, d: ziparchive.tables_of(_archives(s, d), "payloads").select("archive", "name", F.sha1(codecs.decoded(F.col("method"), F.col("payload"))).alias("sha1")), "SELECT archive, name, sha1 FROM members")
 add("zip_test", lambda s, d: verify.contents(ziparchive.tables_of(_archives(s, d), "payloads")))
+
+
+def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives under a password, their members' bytes opened with it."""
+    m = members(spark, sf_dir)
+    files = m.select("archive", "name", F.encode("text", "UTF-8").alias("content"), "mtime")
+    sealed = zipwriter.archives(crypto.encrypted(zipwriter.packed(files), b"archive")).withColumnRenamed("archive", "path")
+    return crypto.decrypted(ziparchive.tables_of(sealed, "payloads"), b"archive")
+
+
+add("zip_encrypted_contents", lambda s, d: _sealed(s, d).select("archive", "name", F.sha1(codecs.decoded(F.col("method"), F.col("payload"))).alias("sha1")), "SELECT archive, name, sha1 FROM members")
+add("shrink_roundtrip", on_members(lambda m: m.select("idx", (codecs.decoded(F.lit(1), codecs.encoded(F.lit(1), F.encode("text", "UTF-8"))) == F.encode("text", "UTF-8")).alias("same"))), "SELECT idx, true AS same FROM members")

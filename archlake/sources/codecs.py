@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import legacy
+
 MOST = 1 << 30
 
 
@@ -54,23 +56,36 @@ CODECS: dict[int, tuple[str, Callable[[bytes], bytes], Callable[[bytes], bytes]]
 }
 
 
-def encode(method: int, data: bytes) -> bytes:
-    return CODECS[method][1](data)
+#: Early methods, in Python and slow: packing takes (data, flags), unpacking (data, flags, length).
+LEGACY: dict[int, tuple[str, Callable[[bytes, int], bytes], Callable[[bytes, int, int], bytes]]] = {
+    1: ("shrink", lambda d, _: legacy.shrink(d), lambda d, _, n: legacy.unshrink(d)),
+    **{m: (f"reduce-{m - 1}", lambda d, _, m=m: legacy.reduce(d, m - 1), lambda d, _, n, m=m: legacy.unreduce(d, m - 1, n)) for m in (2, 3, 4, 5)},
+    6: ("implode", lambda d, f: legacy.implode(d, f), lambda d, f, n: legacy.explode(d, f, n)),
+    9: ("deflate64", lambda d, _: legacy.deflate64(d), lambda d, _, n: legacy.inflate64(d)),
+    10: ("dcl-implode", lambda d, _: legacy.dcl_implode(d), lambda d, _, n: legacy.dcl_explode(d)),
+}
+NEED_LENGTH = (2, 3, 4, 5, 6)
+
+
+def encode(method: int, data: bytes, flags: int = 0) -> bytes:
+    return LEGACY[method][1](data, flags) if method in LEGACY else CODECS[method][1](data)
 
 
-def decode(method: int, data: bytes) -> bytes | None:
-    """The member's bytes; None where the method isn't known or the data is bad."""
+def decode(method: int, data: bytes, flags: int = 0, length: int | None = None) -> bytes | None:
+    """The member's bytes; None where the method isn't known, needs a length that isn't given, or the data is bad."""
     if method == 20 and data[:4] == b"\x28\xb5\x2f\xfd":
         method = 93
     try:
+        if method in LEGACY:
+            return None if length is None and method in NEED_LENGTH else LEGACY[method][2](data, flags, length)
         return CODECS[method][2](data)
     except (KeyError, ValueError, EOFError, OSError, IndexError, zlib.error, lzma.LZMAError, struct.error, zstandard.ZstdError):
         return None
 
 
 @F.pandas_udf(T.BinaryType())
-def _decoded(method: pd.Series, data: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else decode(int(m), bytes(d)) for m, d in zip(method, data)], dtype=object)
+def _decoded(method: pd.Series, data: pd.Series, flags: pd.Series, length: pd.Series) -> pd.Series:
+    return pd.Series([None if d is None else decode(int(m), bytes(d), int(f), None if pd.isna(n) else int(n)) for m, d, f, n in zip(method, data, flags, length)], dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -90,8 +105,9 @@ def _sizes(data: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def decoded(method: Column, data: Column) -> Column:
-    return _decoded(method, data)
+def decoded(method: Column, data: Column, flags: Column | None = None, length: Column | None = None) -> Column:
+    """Members' bytes. Flags tell how imploded data was made; reduced and imploded data need their length."""
+    return _decoded(method, data, F.lit(0) if flags is None else flags, F.lit(None).cast("long") if length is None else length)
 
 
 def encoded(method: Column, data: Column) -> Column:

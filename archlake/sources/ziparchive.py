@@ -26,7 +26,7 @@ MEMBERS = (
     "internal_attr int, external_attr long, offset long, comment string, extras array<struct<tag:int,data:binary>>, is_dir boolean, is_text boolean, encrypted boolean, aes_version int, aes_strength int"
 )
 LOCAL = "archive string, idx long, offset long, data_offset long, method int, flags int, dos_datetime long, crc long, csize long, usize long, raw_name binary, extras array<struct<tag:int,data:binary>>"
-PAYLOADS = "archive string, idx long, name string, method int, crc long, usize long, payload binary"
+PAYLOADS = "archive string, idx long, name string, method int, flags int, dos_datetime long, crc long, usize long, encrypted boolean, aes_version int, aes_strength int, payload binary"
 
 _EOCD, _LOC64, _END64, _CEN, _LOCAL = b"PK\5\6", b"PK\6\7", b"PK\6\6", b"PK\1\2", b"PK\3\4"
 _MAX = 2**63 - 1
@@ -179,7 +179,8 @@ def _rows(archive: str, data: bytes, table: str, mode: str) -> list[dict]:
             if table == "local_headers":
                 out.append({"archive": archive, "idx": r["idx"], **h})
             else:
-                out.append({"archive": archive, "idx": r["idx"], "name": r["name"], "method": r["real_method"], "crc": r["crc"], "usize": r["usize"], "payload": data[h["data_offset"] : h["data_offset"] + r["csize"]]})
+                own = {c: r[c] for c in ("idx", "name", "flags", "dos_datetime", "crc", "usize", "encrypted", "aes_version", "aes_strength")}
+                out.append({"archive": archive, **own, "method": r["real_method"], "payload": data[h["data_offset"] : h["data_offset"] + r["csize"]]})
         return out
     except (Broken, struct.error) as e:
         if mode == "FAILFAST":
@@ -206,8 +207,6 @@ def tables_of(files: DataFrame, table: str = "members", mode: str = "LENIENT", b
 
 def read(spark: SparkSession, path: str, table: str = "members", mode: str = "LENIENT", glob: str = "*.zip", recursive: bool = True) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    if table == "members":
-        pass
     return tables_of(files, table, mode)
 
 

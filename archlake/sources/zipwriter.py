@@ -1,7 +1,7 @@
 """Archives from tables: a task writes the archives it holds, whole, then they are renamed into place.
 
 Rows: archive (file name), idx, name, method, payload (packed), crc, usize,
-dos_datetime and comment. A task writes each archive beside its target and
+dos_datetime and comment; flags and extra (fields as bytes) if there. A task writes each archive beside its target and
 moves it when all rows have succeeded; existing targets raise.
 """
 
@@ -37,12 +37,15 @@ def build(rows: list[dict], comment: bytes = b"") -> bytes:
     out, catalog = bytearray(), bytearray()
     for r in rows:
         name, data, at = r["name"].encode(), bytes(r["payload"] or b""), len(out)
-        flags, need = (0x800 if not r["name"].isascii() else 0), next((v for n, _, v in S.METHODS if n == r["method"]), 20)
+        own = bytes(r.get("extra") or b"")
+        flags, need = (0x800 if not r["name"].isascii() else 0) | int(r.get("flags") or 0), next((v for n, _, v in S.METHODS if n == r["method"]), 20)
         time, date = r["dos_datetime"] & 0xFFFF, r["dos_datetime"] >> 16
         wide = max(len(data), r["usize"], at) >= 0xFFFFFFFF
         extra = struct.pack("<HHQQQ", 1, 24, r["usize"], len(data), at) if wide else b""
+        extra += own
         csize, usize, offset = (0xFFFFFFFF,) * 3 if wide else (len(data), r["usize"], at)
         lextra = struct.pack("<HHQQ", 1, 16, r["usize"], len(data)) if wide else b""
+        lextra += own
         out += struct.pack("<4sHHHHHIIIHH", b"PK\3\4", max(need, 45 if wide else 0), flags, r["method"], time, date, r["crc"], csize, usize, len(name), len(lextra)) + name + lextra + data
         note = (r.get("comment") or "").encode()
         catalog += struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 3 << 8 | 63, max(need, 45 if wide else 0), flags, r["method"], time, date, r["crc"], csize, usize, len(name), len(extra), len(note), 0, 0, 0o100644 << 16, offset) + name + extra + note
