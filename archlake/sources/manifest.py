@@ -227,4 +227,4 @@ def native_time(tlvs: Column, tag: int) -> Column:
     """Seconds and nanoseconds, both kept whole."""
     d = native(tlvs, tag)
     sec = S.from_le(d, 0, 8)
-    return F.when(d.isNotNull(), F.struct(F.when(sec >= F.lit(2**63).cast("decimal(20,0)"), sec - F.lit(2**64).cast("decimal(20,0)")).otherwise(sec).cast("long").alias("sec"), S.from_le(d, 8, 4).cast("int").alias("nanos")))
+    return F.when(d.isNotNull(), F.struct(F.when(sec >= F.lit(str(2**63)).cast("decimal(20,0)"), sec - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(sec).cast("long").alias("sec"), S.from_le(d, 8, 4).cast("int").alias("nanos")))
