@@ -11,7 +11,7 @@ from archlake.functions import extras as X
 from archlake.functions import glob
 from archlake.functions import scalars as S
 from archlake.operators import dedup, listing, optimize, search, spans, split, sync, verify
-from archlake.sources import codecs, crypto, ziparchive, zipwriter
+from archlake.sources import codecs, crypto, manifest, ziparchive, zipwriter
 
 from .views import FS_SQL, MEMBERS_SQL, PERMILLE_SQL, members, on_disk, table
 
@@ -194,3 +194,18 @@ def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("zip_encrypted_contents", lambda s, d: _sealed(s, d).select("archive", "name", F.sha1(codecs.decoded(F.col("method"), F.col("payload"))).alias("sha1")), "SELECT archive, name, sha1 FROM members")
 add("shrink_roundtrip", on_members(lambda m: m.select("idx", (codecs.decoded(F.lit(1), codecs.encoded(F.lit(1), F.encode("text", "UTF-8"))) == F.encode("text", "UTF-8")).alias("same"))), "SELECT idx, true AS same FROM members")
+
+
+def _attributed(m: DataFrame) -> DataFrame:
+    """Two attributes of each member, through manifests in its field and back."""
+    told = F.struct(F.lit(1).alias("tag"), F.lit(0).alias("flags"), F.lit(b"\1\0").alias("data"))
+    pair = lambda name, value: F.struct(F.encode(F.lit(name), "UTF-8").alias("name"), F.encode(value, "UTF-8").alias("value"))
+    rows = m.select("archive", "idx", F.md5(F.col("idx").cast("string")).alias("owner_id"), F.explode(F.array(pair("sha1", F.col("sha1")), pair("lang", F.col("archive")))).alias("x"))
+    one = F.lit(1)
+    rows = rows.select("archive", "idx", "owner_id", one.alias("type"), F.lit(0).alias("flags"), one.alias("origin"), F.lit(0).alias("encoding"), F.lit(b"user").alias("namespace"), "x.name", F.array(told).alias("tlvs"), "x.value")
+    held = manifest.encoded(rows).select("archive", "idx", F.array(F.struct(F.lit(manifest.TAG).alias("tag"), F.col("field").alias("data"))).alias("extras"))
+    inline = manifest.owner_fields(held).withColumn("manifest", F.col("body"))
+    return manifest.attributes(inline, "FAILFAST").select("archive", "idx", "owner_id", "place", F.decode("name", "UTF-8").alias("name"), F.decode("value", "UTF-8").alias("value"))
+
+
+add("manifest_attributes", on_members(_attributed), "SELECT archive, idx, md5(idx::VARCHAR) AS owner_id, 0 AS place, 'lang' AS name, archive AS value FROM members UNION ALL SELECT archive, idx, md5(idx::VARCHAR), 1, 'sha1', sha1 FROM members")

@@ -159,6 +159,22 @@ def manifests(members: DataFrame, payloads: DataFrame) -> DataFrame:
     return inline.unionByName(own.where(F.col("mode") != INLINE).join(companions, ["archive", "owner_id"], "left").select(*inline.columns))
 
 
+def encoded(attributes: DataFrame) -> DataFrame:
+    """Rows as attributes() gives them to manifests: archive, idx, owner_id, manifest and the catalog field that holds it. Owners' records meet in a task, never an archive's."""
+    record = F.struct("type", "flags", "origin", "encoding", "namespace", "name", "tlvs", "value")
+    owners = attributes.groupBy("archive", "idx", "owner_id").agg(F.collect_list(record).alias("records"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            made = []
+            for owner, records in zip(part["owner_id"], part["records"]):
+                plain = [{**r, "namespace": bytes(r["namespace"]), "name": bytes(r["name"]), "value": bytes(r["value"]), "tlvs": [{**t, "data": bytes(t["data"])} for t in r["tlvs"]]} for r in (dict(r) if isinstance(r, dict) else r.asDict(True) for r in records)]
+                made.append(encode(bytes.fromhex(owner), plain))
+            yield pd.DataFrame({"archive": part["archive"], "idx": part["idx"], "owner_id": part["owner_id"], "manifest": made, "field": [field(bytes.fromhex(o), m) for o, m in zip(part["owner_id"], made)]})
+
+    return owners.mapInPandas(run, "archive string, idx long, owner_id string, manifest binary, field binary")
+
+
 def _records(r) -> list[dict]:
     if r.mode not in (INLINE, COMPANION) or (r.mode == INLINE and r.hidden):
         raise Broken("no such mode")
