@@ -11,7 +11,7 @@ from archlake.functions import extras as X
 from archlake.functions import glob
 from archlake.functions import scalars as S
 from archlake.operators import dedup, listing, optimize, search, spans, split, sync, verify
-from archlake.sources import codecs, crypto, manifest, ziparchive, zipwriter
+from archlake.sources import codecs, crypto, extract, manifest, rewrite, ziparchive, zipwriter
 
 from .views import FS_SQL, MEMBERS_SQL, PERMILLE_SQL, members, on_disk, table
 
@@ -184,6 +184,28 @@ add("zip_contents", lambda s, d: ziparchive.tables_of(_archives(s, d), "payloads
 add("zip_test", lambda s, d: verify.contents(ziparchive.tables_of(_archives(s, d), "payloads")))
 
 
+def _rewritten(how, back=lambda e: e, volume_size: int | None = None):
+    """Contents' digests of archives after a rewrite, each text twice so that there are duplicates."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = members(spark, sf_dir)
+        files = m.select("archive", F.explode(F.array("name", F.concat(F.lit("copy/"), "name"))).alias("name"), F.encode("text", "UTF-8").alias("content"), "mtime")
+        first = zipwriter.archives(zipwriter.packed(files)).withColumnRenamed("archive", "path")
+        made = zipwriter.archives(how(ziparchive.tables_of(first, "entries", "FAILFAST")), volume_size).withColumnRenamed("archive", "path")
+        e = back(ziparchive.tables_of(ziparchive.volumes(made) if volume_size else made, "entries", "FAILFAST"))
+        return e.select(F.regexp_replace("archive", "[.]zip$", "").alias("archive"), "name", F.sha1(codecs.decoded(F.col("method"), F.col("payload"), F.col("flags"), F.col("usize"))).alias("sha1"))
+
+    return run
+
+
+_TWICE = "SELECT archive, p || name AS name, sha1 FROM members, (VALUES (''), ('copy/')) AS v(p)"
+add("zip_copied", _rewritten(rewrite.copied), _TWICE)
+add("zip_recompressed", _rewritten(lambda e: rewrite.optimized(e, "store,deflate,zstd")), _TWICE)
+add("zip_references", _rewritten(rewrite.deduplicated, rewrite.expanded), _TWICE)
+add("zip_volumes", _rewritten(lambda e: rewrite.copied(e).withColumn("archive", F.concat("archive", F.lit(".zip"))), volume_size=1 << 16), _TWICE)
+add("zip_extracted", lambda s, d: extract.files(ziparchive.tables_of(_archives(s, d), "payloads")).select("archive", "target", F.sha1("content").alias("sha1")), "SELECT archive, name AS target, sha1 FROM members")
+
+
 def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives under a password, their members' bytes opened with it."""
     m = members(spark, sf_dir)

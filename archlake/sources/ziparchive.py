@@ -27,6 +27,7 @@ MEMBERS = (
 )
 LOCAL = "archive string, idx long, offset long, data_offset long, method int, flags int, dos_datetime long, crc long, csize long, usize long, raw_name binary, extras array<struct<tag:int,data:binary>>"
 PAYLOADS = "archive string, idx long, name string, method int, flags int, dos_datetime long, crc long, usize long, encrypted boolean, aes_version int, aes_strength int, payload binary"
+ENTRIES = MEMBERS + ", local_extras array<struct<tag:int,data:binary>>, payload binary"
 
 _EOCD, _LOC64, _END64, _CEN, _LOCAL = b"PK\5\6", b"PK\6\7", b"PK\6\6", b"PK\1\2", b"PK\3\4"
 _MAX = 2**63 - 1
@@ -62,8 +63,8 @@ def decode_name(raw: bytes, flags: int, extras: list[dict]) -> str:
     return raw.decode("cp437")
 
 
-def trailer(data: bytes) -> dict:
-    """The end record, the wide one where the locator names it; raises Broken."""
+def trailer(data: bytes, starts: list[int] | None = None) -> dict:
+    """The end record, the wide one where the locator names it; raises Broken. starts: where each volume begins, if there are several."""
     at = data.rfind(_EOCD)
     while at >= 0:
         if at + 22 <= len(data) and at + 22 + struct.unpack_from("<H", data, at + 20)[0] <= len(data):
@@ -75,7 +76,7 @@ def trailer(data: bytes) -> dict:
     t = {"disk": disk, "cd_disk": cd_disk, "entry_count": count, "cd_size": size, "cd_offset": offset, "eocd_offset": at, "is_zip64": False, "comment": data[at + 22 : at + 22 + n]}
     end = at
     if at >= 20 and data[at - 20 : at - 16] == _LOC64:
-        wide = struct.unpack_from("<Q", data, at - 12)[0]
+        wide = struct.unpack_from("<Q", data, at - 12)[0] + _start(starts, struct.unpack_from("<I", data, at - 16)[0])
         if wide > len(data) or data[wide : wide + 4] != _END64:
             wide = data.rfind(_END64, 0, at - 20)
         if wide < 0:
@@ -85,12 +86,21 @@ def trailer(data: bytes) -> dict:
         end = wide
     if max(t["entry_count"], t["cd_size"], t["cd_offset"]) > _MAX:
         raise Broken("a number beyond 2^63")
-    t["sfx_prefix"] = end - t["cd_size"] - t["cd_offset"]
+    t["starts"] = starts
+    t["sfx_prefix"] = 0 if starts else end - t["cd_size"] - t["cd_offset"]
     if t["sfx_prefix"] < 0:
         raise Broken("catalog beyond the file")
     return t
 
 
+def _start(starts: list[int] | None, disk: int) -> int:
+    if not starts:
+        return 0
+    if disk >= len(starts):
+        raise Broken(f"no volume {disk}")
+    return starts[disk]
+
+
 def _wide(extras: list[dict], **values: int) -> dict:
     """32-bit sentinels replaced by what the wide field has, in its order."""
     data, i = _find(extras, 1) or b"", 0
@@ -107,7 +117,8 @@ def _wide(extras: list[dict], **values: int) -> dict:
 
 def members(data: bytes, t: dict) -> Iterator[dict]:
     """Rows of the catalog, until its size ends; a count modulo 65536 doesn't matter."""
-    i, end, idx = t["cd_offset"] + t["sfx_prefix"], t["cd_offset"] + t["sfx_prefix"] + t["cd_size"], 0
+    i = t["cd_offset"] + t["sfx_prefix"] + _start(t["starts"], t["cd_disk"])
+    end, idx = i + t["cd_size"], 0
     while i < end:
         if data[i : i + 4] != _CEN or i + 46 > end:
             raise Broken(f"no catalog record at {i}")
@@ -122,7 +133,7 @@ def members(data: bytes, t: dict) -> Iterator[dict]:
         yield {
             "idx": idx, "name": name, "raw_name": raw, "method": method, "real_method": struct.unpack_from("<H", aes, 5)[0] if valid else method, "flags": flags, "version_made": made & 255, "host": made >> 8,
             "version_needed": need, "dos_datetime": date << 16 | time, "crc": crc, "csize": w["csize"], "usize": w["usize"], "disk": disk, "internal_attr": internal, "external_attr": external,
-            "offset": w["offset"] + t["sfx_prefix"], "comment": comment.decode("utf-8" if flags & 0x800 else "cp437", "replace"), "extras": extras, "is_dir": name.endswith("/"), "is_text": bool(internal & 1),
+            "offset": w["offset"] + t["sfx_prefix"] + _start(t["starts"], disk), "comment": comment.decode("utf-8" if flags & 0x800 else "cp437", "replace"), "extras": extras, "is_dir": name.endswith("/"), "is_text": bool(internal & 1),
             "encrypted": bool(flags & 1), "aes_version": struct.unpack_from("<H", aes, 0)[0] if valid else 0, "aes_strength": aes[4] if valid else 0,
         }
         i += 46 + nlen + elen + clen
@@ -165,9 +176,9 @@ def salvaged(data: bytes) -> Iterator[dict]:
         at = data.find(_LOCAL, nxt)
 
 
-def _rows(archive: str, data: bytes, table: str, mode: str) -> list[dict]:
+def _rows(archive: str, data: bytes, table: str, mode: str, starts: list[int] | None = None) -> list[dict]:
     try:
-        t = trailer(data) if mode != "SALVAGE" else None
+        t = trailer(data, starts) if mode != "SALVAGE" else None
         if table == "archives":
             return [{"archive": archive, "length": len(data), "status": "ok", "error": None, **(t or {})}]
         rows = list(members(data, t) if t else salvaged(data))
@@ -178,6 +189,8 @@ def _rows(archive: str, data: bytes, table: str, mode: str) -> list[dict]:
             h = local_header(data, r["offset"])
             if table == "local_headers":
                 out.append({"archive": archive, "idx": r["idx"], **h})
+            elif table == "entries":
+                out.append({"archive": archive, **r, "local_extras": h["extras"], "payload": data[h["data_offset"] : h["data_offset"] + r["csize"]]})
             else:
                 own = {c: r[c] for c in ("idx", "name", "flags", "dos_datetime", "crc", "usize", "encrypted", "aes_version", "aes_strength")}
                 out.append({"archive": archive, **own, "method": r["real_method"], "payload": data[h["data_offset"] : h["data_offset"] + r["csize"]]})
@@ -188,21 +201,21 @@ def _rows(archive: str, data: bytes, table: str, mode: str) -> list[dict]:
         return [{"archive": archive, "length": len(data), "status": "error", "error": str(e)}] if table == "archives" else []
 
 
-SCHEMAS = {"archives": ARCHIVES, "members": MEMBERS, "local_headers": LOCAL, "payloads": PAYLOADS}
+SCHEMAS = {"archives": ARCHIVES, "members": MEMBERS, "local_headers": LOCAL, "payloads": PAYLOADS, "entries": ENTRIES}
 
 
 def tables_of(files: DataFrame, table: str = "members", mode: str = "LENIENT", batch: int = 5000) -> DataFrame:
-    """files: path and content, as the binary reader gives them, batch or streaming. One row per archive, member or header."""
+    """files: path and content, as the binary reader gives them, batch or streaming; starts of volumes() if there. One row per archive, member or header."""
     names = [c.split()[0] for c in re.split(r", (?![^<]*>)", SCHEMAS[table])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for path, content in zip(part["path"], part["content"]):
-                rows = _rows(path, bytes(content), table, mode)
+            for path, content, *starts in part.itertuples(index=False, name=None):
+                rows = _rows(path, bytes(content), table, mode, [int(x) for x in starts[0]] if starts and starts[0] is not None else None)
                 for lo in range(0, len(rows), batch):
                     yield pd.DataFrame([[r.get(c) for c in names] for r in rows[lo : lo + batch]], columns=names, dtype=object)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMAS[table])
+    return files.select("path", "content", *(["starts"] if "starts" in files.columns else [])).mapInPandas(run, SCHEMAS[table])
 
 
 def read(spark: SparkSession, path: str, table: str = "members", mode: str = "LENIENT", glob: str = "*.zip", recursive: bool = True) -> DataFrame:
@@ -218,8 +231,11 @@ def filesystem(spark: SparkSession, path: str, content: bool = False) -> DataFra
 
 
 def volumes(files: DataFrame) -> DataFrame:
-    """Split archives put together: `.z01`, `.z02`, ... then `.zip`. files: path, content."""
+    """Split archives put together: `.z01`, `.z02`, ... then `.zip`. files: path, content. starts tells where each volume begins."""
     base = F.regexp_replace("path", r"(?i)\.z(?:ip|\d+)$", "")
     part = F.regexp_extract("path", r"(?i)\.z(\d+)$", 1)
     order = F.when(part == "", F.lit(1 << 30)).otherwise(part.try_cast("int"))
-    return files.groupBy(F.concat(base, F.lit(".zip")).alias("path")).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "content"))).alias("v")).select("path", F.aggregate("v", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["content"])).alias("content"))
+    whole = files.groupBy(F.concat(base, F.lit(".zip")).alias("path")).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "content"))).alias("v"))
+    content = F.aggregate("v", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["content"]))
+    starts = F.aggregate("v", F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.octet_length(x["content"])))
+    return whole.select("path", content.alias("content"), F.slice(starts, 1, F.size("v")).alias("starts"))

@@ -1,7 +1,8 @@
 """Archives from tables: a task writes the archives it holds, whole, then they are renamed into place.
 
 Rows: archive (file name), idx, name, method, payload (packed), crc, usize,
-dos_datetime and comment; flags and extra (fields as bytes) if there. A task writes each archive beside its target and
+dos_datetime and comment; if there, flags, extra and central_extra (fields as
+bytes), host, version_made, internal_attr and external_attr. A task writes each archive beside its target and
 moves it when all rows have succeeded; existing targets raise.
 """
 
@@ -32,43 +33,93 @@ def packed(files: DataFrame, method: int = 8, suffixes_stored: str = "none") ->
     )
 
 
-def build(rows: list[dict], comment: bytes = b"") -> bytes:
-    """An archive's bytes; wide records where numbers ask for them."""
-    out, catalog = bytearray(), bytearray()
+class _Volumes:
+    """Bytes in volumes of a size; records stay whole in one, data may run on into the next."""
+
+    def __init__(self, size: int | None):
+        if size is not None and size < 1 << 16:
+            raise ValueError("volumes are of 64 KB at least")
+        self.size, self.parts = size, [bytearray()]
+
+    def here(self, record: int = 0) -> tuple[int, int]:
+        """Volume and offset at which a record of this length would lie."""
+        if self.size and len(self.parts[-1]) + record > self.size:
+            self.parts.append(bytearray())
+        return len(self.parts) - 1, len(self.parts[-1])
+
+    def put(self, data: bytes) -> None:
+        while self.size and len(self.parts[-1]) + len(data) > self.size:
+            room = self.size - len(self.parts[-1])
+            self.parts[-1] += data[:room]
+            self.parts.append(bytearray())
+            data = data[room:]
+        self.parts[-1] += data
+
+
+def build_volumes(rows: list[dict], comment: bytes = b"", volume_size: int | None = None) -> list[bytes]:
+    """An archive's volumes, one if no size is given; wide records where numbers ask for them.
+
+    A member whose flags have 8 gets its sums after its data, as a writer that can't go back does it.
+    """
+    out, catalog = _Volumes(volume_size), []
+    if volume_size:
+        out.put(b"PK\7\x08")
     for r in rows:
-        name, data, at = r["name"].encode(), bytes(r["payload"] or b""), len(out)
-        own = bytes(r.get("extra") or b"")
-        flags, need = (0x800 if not r["name"].isascii() else 0) | int(r.get("flags") or 0), next((v for n, _, v in S.METHODS if n == r["method"]), 20)
-        time, date = r["dos_datetime"] & 0xFFFF, r["dos_datetime"] >> 16
-        wide = max(len(data), r["usize"], at) >= 0xFFFFFFFF
-        extra = struct.pack("<HHQQQ", 1, 24, r["usize"], len(data), at) if wide else b""
-        extra += own
-        csize, usize, offset = (0xFFFFFFFF,) * 3 if wide else (len(data), r["usize"], at)
-        lextra = struct.pack("<HHQQ", 1, 16, r["usize"], len(data)) if wide else b""
-        lextra += own
-        out += struct.pack("<4sHHHHHIIIHH", b"PK\3\4", max(need, 45 if wide else 0), flags, r["method"], time, date, r["crc"], csize, usize, len(name), len(lextra)) + name + lextra + data
-        note = (r.get("comment") or "").encode()
-        catalog += struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 3 << 8 | 63, max(need, 45 if wide else 0), flags, r["method"], time, date, r["crc"], csize, usize, len(name), len(extra), len(note), 0, 0, 0o100644 << 16, offset) + name + extra + note
-    start, n = len(out), len(rows)
-    out += catalog
+        has = lambda k, other=0: other if r.get(k) is None or r[k] != r[k] else r[k]  # noqa: B023, E731
+        name, data, own, late = r["name"].encode(), bytes(r["payload"] or b""), bytes(has("extra", b"")), int(has("flags")) & 8
+        flags, need = (0x800 if not r["name"].isascii() else 0) | int(has("flags")), next((v for n, _, v in S.METHODS if n == r["method"]), 20)
+        time, date = int(r["dos_datetime"]) & 0xFFFF, int(r["dos_datetime"]) >> 16
+        usize, crc = int(r["usize"]), int(r["crc"])
+        disk, at = out.here(30 + len(name) + 20 + len(own))
+        wide = max(len(data), usize, at) >= 0xFFFFFFFF
+        need = max(need, 45 if wide else 0)
+        lextra = (struct.pack("<HHQQ", 1, 16, usize, len(data)) if wide else b"") + own
+        sums = (0, 0, 0) if late and not wide else (crc, 0xFFFFFFFF, 0xFFFFFFFF) if wide else (crc, len(data), usize)
+        out.put(struct.pack("<4sHHHHHIIIHH", b"PK\3\4", need, flags, r["method"], time, date, *sums, len(name), len(lextra)) + name + lextra)
+        out.put(data)
+        if late:
+            tail = struct.pack("<4sIQQ" if wide else "<4sIII", b"PK\7\x08", crc, len(data), usize)
+            out.here(len(tail))
+            out.put(tail)
+        extra = (struct.pack("<HHQQQ", 1, 24, usize, len(data), at) if wide else b"") + bytes(has("central_extra", own))
+        csize, usize, offset = (0xFFFFFFFF,) * 3 if wide else (len(data), usize, at)
+        note = (has("comment", "") or "").encode()
+        made = int(has("host", 3)) << 8 | int(has("version_made", 63))
+        catalog.append(struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", made, need, flags, r["method"], time, date, crc, csize, usize, len(name), len(extra), len(note), disk, int(has("internal_attr")), int(has("external_attr", 0o100644 << 16)), offset) + name + extra + note)
+    cd_disk, start = out.here(len(catalog[0]) if catalog else 22)
+    disks = []
+    for record in catalog:
+        disks.append(out.here(len(record))[0])
+        out.put(record)
+    n, size = len(rows), sum(map(len, catalog))
+    last, at = out.here((98 if n >= 0xFFFF or start >= 0xFFFFFFFF else 22) + len(comment))
+    here = disks.count(last)
     if n >= 0xFFFF or start >= 0xFFFFFFFF:
-        out += struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 63, 45, 0, 0, n, n, len(catalog), start) + struct.pack("<4sIQI", b"PK\6\7", 0, start + len(catalog), 1)
-    out += struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(len(catalog), 0xFFFFFFFF), min(start, 0xFFFFFFFF), len(comment)) + comment
-    return bytes(out)
+        out.put(struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 63, 45, last, cd_disk, here, n, size, start) + struct.pack("<4sIQI", b"PK\6\7", last, at, last + 1))
+    out.put(struct.pack("<4sHHHHIIH", b"PK\5\6", last, cd_disk, min(here, 0xFFFF), min(n, 0xFFFF), min(size, 0xFFFFFFFF), min(start, 0xFFFFFFFF), len(comment)) + comment)
+    return [bytes(p) for p in out.parts]
+
+
+def build(rows: list[dict], comment: bytes = b"") -> bytes:
+    return build_volumes(rows, comment)[0]
 
 
-def archives(rows: DataFrame) -> DataFrame:
-    """archive and content: each archive's bytes, for any sink. One task holds one archive, of less than 2 GB."""
+def archives(rows: DataFrame, volume_size: int | None = None) -> DataFrame:
+    """archive and content: each archive's bytes, for any sink; with a size its volumes, `.z01`, `.z02`, ... and `.zip`. One task holds one archive, of less than 2 GB. archive_comment is taken where there."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         some = pdf.sort_values("idx").to_dict("records")
-        return pd.DataFrame({"archive": [some[0]["archive"]], "content": [build(some)]})
+        name, note = some[0]["archive"], some[0].get("archive_comment")
+        parts = build_volumes(some, bytes(note) if isinstance(note, (bytes, bytearray)) else b"", volume_size)
+        base = name[:-4] if name.lower().endswith(".zip") else name
+        names = [f"{base}.z{i:02d}" for i in range(1, len(parts))] + [name]
+        return pd.DataFrame({"archive": names, "content": parts})
 
     return rows.groupBy("archive").applyInPandas(run, "archive string, content binary")
 
 
-def write(rows: DataFrame, folder: str, overwrite: bool = False) -> int:
-    """Writes archives under a folder that all machines share, each at once or not at all; their number."""
+def write(rows: DataFrame, folder: str, overwrite: bool = False, volume_size: int | None = None) -> int:
+    """Writes archives under a folder that all machines share, each file at once or not at all; the number of files."""
 
     def run(parts):
         for part in parts:
@@ -83,4 +134,4 @@ def write(rows: DataFrame, folder: str, overwrite: bool = False) -> int:
                 os.replace(beside, target)
                 yield pd.DataFrame({"archive": [name]})
 
-    return archives(rows).mapInPandas(run, "archive string").count()
+    return archives(rows, volume_size).mapInPandas(run, "archive string").count()
