@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from archlake.functions import extras as X
 from archlake.functions import glob
 from archlake.functions import scalars as S
-from archlake.operators import dedup, listing, optimize, search, spans, split, sync, verify
+from archlake.operators import dedup, listing, notes, optimize, search, spans, split, sync, verify
 from archlake.sources import codecs, crypto, extract, manifest, rewrite, ziparchive, zipwriter
 
 from .views import FS_SQL, MEMBERS_SQL, PERMILLE_SQL, members, on_disk, table
@@ -231,3 +231,10 @@ def _attributed(m: DataFrame) -> DataFrame:
 
 
 add("manifest_attributes", on_members(_attributed), "SELECT archive, idx, md5(idx::VARCHAR) AS owner_id, 0 AS place, 'lang' AS name, archive AS value FROM members UNION ALL SELECT archive, idx, md5(idx::VARCHAR), 1, 'sha1', sha1 FROM members")
+
+
+def _commented(m: DataFrame) -> DataFrame:
+    return m.select("archive", "idx", "name", F.concat(F.lit("@ "), F.col("idx").cast("string"), F.lit(" \\ note\nline two")).alias("comment"))
+
+
+add("notes_roundtrip", on_members(lambda m: notes.edits(notes.dumped(_commented(m))).select("archive", "name", "comment")), "SELECT archive, name, '@ ' || idx::VARCHAR || ' \\ note' || chr(10) || 'line two' AS comment FROM members")
