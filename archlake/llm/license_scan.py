@@ -1,13 +1,15 @@
 """Licence scans by sparse TF-IDF cosine and directory inheritance, in DataFrame operations only.
 
 Every line of every file is a possible notice, and a file as a whole a
-possible licence file. Terms are counted over all files for their inverse
-document frequency; terms outside all templates count as distinct terms of
-the highest one. A line can only reach the threshold with one of its
-template's heavy terms (those without which the rest of the template is too
-short a vector), so only lines and files that hold such a term are scored,
-and none is lost. A file without a notice of its own inherits from the licence
-file in its nearest ancestor directory, by joining all its ancestors' paths.
+possible licence file. All terms of all files, not only the templates', are counted
+for their inverse document frequency. A line can only reach the threshold with
+one of its template's heavy terms (those without which the rest of the
+template is too short a vector), so only lines and files that hold such a term
+are scored. No weight is less than 1, which bounds a vector's length from below
+before its other terms are weighed: pieces that are too long for their
+threshold even so go no further. Neither step loses a notice. A file without a
+notice of its own inherits from the licence file in its nearest ancestor
+directory, by joining all its ancestors' paths.
 
 Nulls and empty texts have no notice but inherit. A null path is a file in
 the root. Equal scores go to the lesser template name; of several licence
@@ -67,12 +69,11 @@ def scan(files: DataFrame, line_threshold: float = 0.7, file_threshold: float =
     files = files.withColumn("key", F.xxhash64("id", "path", "text"))
     templates = _templates()
     vocabulary = sorted(set().union(*(tf for _, tf in templates)))
-    inside = F.split(F.lit(" ".join(vocabulary)), " ")  # folded to a constant
-    # Of all files: how many there are and how many hold each term; the vocabulary bounds the rows.
+    # Of all files: how many there are and how many hold each term.
     n = files.count()
-    df = dict(files.select(F.explode(F.array_intersect(_terms(F.col("text")), inside)).alias("t")).groupBy("t").count().collect())
+    held_by = tables.cut(files.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("t")).groupBy("t").agg(F.count("*").alias("df")))
+    df = dict(held_by.where(F.col("t").isin(vocabulary)).collect())  # the vocabulary bounds the rows
     idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
-    most = math.log(n + 1) + 1
     heavy = {t: set().union(*(heavy_terms(idf, tf, x) for _, tf in templates)) for t, x in (("line", line_threshold), ("file", file_threshold))}
     word = lambda terms: "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(terms))) + ")(?![a-z0-9])"
     lines = F.filter(F.transform(F.split("text", "\r\n|\r|\n"), lambda x, i: F.struct(i.alias("at"), x.alias("text"))), lambda x: x["text"].rlike(word(heavy["line"])))
@@ -82,12 +83,24 @@ def scan(files: DataFrame, line_threshold: float = 0.7, file_threshold: float =
     weights = F.broadcast(spark.createDataFrame([(t, idf[t]) for t in vocabulary], "t string, w double"))  # as many rows as the templates have terms
     known = pieces.select("key", "at", F.size("terms").alias("n"), F.explode("terms").alias("t")).join(weights, "t")
     counts = tables.cut(known.groupBy("key", "at", "t").agg(F.count("*").alias("tf"), F.first("n").alias("n"), F.first("w").alias("w")))
-    norms = counts.groupBy("key", "at").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("w"), 2)) + (F.first("n") - F.sum("tf")) * most * most).alias("norm"))
+    # Other terms weigh 1 at least. Repeated rows multiply tf, not n, and so only loosen the bound.
+    other = F.greatest(F.lit(0), F.first("n") - F.sum("tf"))
+    shortest = counts.groupBy("key", "at").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("w"), 2)) + other).alias("shortest"))
     length = [math.sqrt(sum((c * idf[t]) ** 2 for t, c in tf.items())) for _, tf in templates]
     rows = [(i, name, t, c * idf[t] * idf[t] / length[i]) for i, (name, tf) in enumerate(templates) for t, c in sorted(tf.items())]
     parts = spark.createDataFrame(rows, "form int, license string, t string, part double")
     dots = counts.join(F.broadcast(parts), "t").groupBy("key", "at", "form", "license").agg(F.sum(F.col("tf") * F.col("part")).alias("dot"))
-    scored = dots.join(norms, ["key", "at"]).select("key", "at", "license", F.round(1000 * F.col("dot") / F.col("norm")).cast("int").alias("score"))
+    limit = F.when(F.col("at") < 0, file_threshold).otherwise(line_threshold)
+    close = tables.cut(dots.join(shortest, ["key", "at"]).where(F.col("dot") >= (limit - 0.001) * F.col("shortest")).select("key", "at", "license", "dot"))
+    # The full vectors of the pieces left; a repeated row's is a multiple of the row's, as is its product.
+    left = tables.cut(close.select("key", "at").distinct())
+    text_of = files.join(left.select("key").distinct(), "key", "left_semi")
+    every = F.transform(F.split("text", "\r\n|\r|\n"), lambda x, i: F.struct(i.alias("at"), x.alias("text")))
+    full = text_of.select("key", F.explode(F.concat(every, F.array(F.struct(F.lit(-1).alias("at"), F.col("text"))))).alias("x")).select("key", "x.at", "x.text").join(left, ["key", "at"], "left_semi")
+    terms = tables.cut(full.select("key", "at", F.explode(_terms(F.col("text"))).alias("t")).groupBy("key", "at", "t").agg(F.count("*").alias("tf")))
+    weight = F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1
+    norms = terms.join(held_by, "t").groupBy("key", "at").agg(F.sqrt(F.sum(F.pow(F.col("tf") * weight, 2))).alias("norm"))
+    scored = close.join(norms, ["key", "at"]).select("key", "at", "license", F.round(1000 * F.col("dot") / F.col("norm")).cast("int").alias("score"))
     best = lambda x: F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias(x)
     header = scored.where((F.col("at") >= 0) & (F.col("score") >= 1000 * line_threshold)).groupBy("key").agg(best("h_license"), F.max("score").alias("h_score"))
     whole = scored.where((F.col("at") < 0) & (F.col("score") >= 1000 * file_threshold)).groupBy("key").agg(best("f_license"), F.max("score").alias("f_score"))

@@ -1,7 +1,9 @@
 """Operators against brute force on small tables, odd rows among them."""
 
+import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -164,6 +166,31 @@ def test_licenses(spark):
     assert got == {(1, "Apache-2.0", "file", None), (2, "Apache-2.0", "inherited", "p"), (3, "MIT", "header", None), (4, None, None, None), (5, None, None, None)}
 
 
+def test_licenses_by_brute_force(spark):
+    notices = [x for forms in license_scan.TEMPLATES.values() for x in forms]
+    files = [(i, f"d{i}/a.c", f"{say(12)}\n{say(RNG.randint(0, 4))} {notices[i % len(notices)]} {say(RNG.randint(0, 4))}\n{say(12)}" if i % 3 else say(40)) for i in range(120)]
+    files += [(150 + i, f"h{i}/b.c", f"{say(150)}\n{notices[i]}\n{say(150)}") for i in range(3)]
+    files += [(200, "e/LICENSE", f"{notices[3]} {say(25)}"), (201, "e/f/x", "Copyright 2024 Acme. Released under the MIT License."), (202, "g/x", None), (201, "e/f/x", "Copyright 2024 Acme. Released under the MIT License.")]
+    tf = lambda t: Counter(re.findall(r"[a-z0-9]+(?:[.][0-9]+)*", t.lower()))
+    df = Counter(t for *_, x in files for t in tf(x or ""))
+    weigh = lambda c: {t: k * (math.log((len(files) + 1) / (df[t] + 1)) + 1) for t, k in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    forms = [(name, weigh(tf(x))) for name, xs in license_scan.TEMPLATES.items() for x in xs]
+
+    def best(texts, limit):
+        vs = [v for v in (weigh(tf(x)) for x in texts) if v]
+        all_ = [(-round(1000 * sum(v.get(t, 0) * w for t, w in f.items()) / norm(v) / norm(f)), name) for v in vs for name, f in forms]
+        return min((x for x in all_ if -x[0] >= 1000 * limit), default=None)
+
+    want = {}
+    for i, _, x in files:
+        h, f = best(re.split("\r\n|\r|\n", x or ""), 0.7), best([x or ""], 0.3)
+        want[i] = (f[1], "file", -f[0]) if f else (h[1], "header", -h[0]) if h else None
+    rows = license_scan.scan(spark.createDataFrame(files, "id long, path string, text string")).collect()
+    got = {r.id: (r.license, r.found_in, r.score_permille) if r.found_in in ("file", "header") else None for r in rows}
+    assert got == want and len(rows) == len(files) and len({w and w[1] for w in want.values()}) == 3
+
+
 def test_toxicity(spark):
     bad = ["vile" + x for x in "abcdefgh"]
     texts = [(i, say(40) + (f" {RNG.choice(bad)} {say(5)}" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
