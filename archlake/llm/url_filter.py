@@ -86,11 +86,11 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     tags = pages.where(F.col("html").rlike(r"(?i)canonical|og:url|http-equiv\s*=\s*.?refresh")).select("url", host.alias("h"), path.alias("p"), tag.alias("tag"))
     tags = tags.where(F.col("tag").rlike(r"(?i)canonical|og:url|refresh"))
     t = F.col("tag")
-    refresh = F.regexp_extract(t, r"""(?is)\bcontent\s*=\s*["'][^"']*?url\s*=\s*([^"'>\s]+)""", 1)
+    refresh = F.regexp_extract(t, r"""(?is)\bcontent\s*=\s*(?:"[^"]*?|'[^']*?|[^"'>\s]*?)url\s*=\s*["']?([^"'>\s]+)""", 1)
     target = (
-        F.when(t.rlike(r"""(?i)^<link\b.*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract(t, _ATTR % "href", 1))
-        .when(t.rlike(r"""(?i)^<meta\b.*\bproperty\s*=\s*["']?og:url\b"""), F.regexp_extract(t, _ATTR % "content", 1))
-        .when(t.rlike(r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), refresh)
+        F.when(t.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract(t, _ATTR % "href", 1))
+        .when(t.rlike(r"""(?is)^<meta\b.*\bproperty\s*=\s*["']?og:url\b"""), F.regexp_extract(t, _ATTR % "content", 1))
+        .when(t.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), refresh)
     )
     targets = _once(tags.select("url", "h", "p", F.regexp_replace(target, "&amp;", "&").alias("target")), "url", "h", "p", "target").where("target is not null")
     named = _once(targets.select("url", _resolved(F.col("target"), F.col("h"), F.col("p")).alias("named")), "url", "named").where("named is not null")

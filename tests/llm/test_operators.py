@@ -149,6 +149,17 @@ def test_url_aliases(spark):
     assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "rule"), 4: ("allow", "default"), 5: ("allow", "default"), 6: ("block", "rule"), 7: ("block", "alias"), 8: ("allow", "rule"), 9: ("allow", "alias"), 10: ("block", "rule"), 11: ("allow", "alias")}
 
 
+def test_url_aliases_in_other_forms(spark):
+    tags = [
+        '<link\n rel="canonical"\n href="http://b.net/y"\n>', '<meta\r\n property="og:url"\r\n content="http://b.net/y">', '<meta\n http-equiv="refresh"\n content="0; url=http://b.net/y">',
+        """<meta http-equiv="refresh" content="0;URL='http://b.net/y'">""", """<meta http-equiv='refresh' content='0; url="http://b.net/y"'>""", "<meta http-equiv=refresh content=0;url=http://b.net/y>",
+    ]
+    data = [x for i, tag in enumerate(tags) for x in ((2 * i, f"http://a{i}.org/es/", tag.replace("b.net", f"b{i}.net")), (2 * i + 1, f"http://b{i}.net/y", None))]
+    df = spark.createDataFrame([*data, (99, "http://c.net/", "<p>url='http://a0.org/es/'")], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.decided_by) for r in url_filter.judge(df, url_filter.RULES).collect()}
+    assert got == {**{i: ("block", "alias" if i % 2 else "rule") for i in range(2 * len(tags))}, 99: ("allow", "default")}
+
+
 def test_components(spark):
     pairs = [(RNG.randint(1, 300), RNG.randint(1, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 430)]
     least = {x: x for p in pairs for x in p}
