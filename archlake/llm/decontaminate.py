@@ -112,8 +112,8 @@ def _extend(size: int):
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def _contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document: key, doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     w = window - k + 1
     items = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     marks = tables.cut(items.mapInArrow(_item_marks(k, w), "item_id string, fp long, short int").distinct())
@@ -128,19 +128,24 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     found = hits.mapInArrow(_extend(window), "key long, item_id string, hits array<int>")
     found = tables.cut(found.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")))
     return rows.join(found, "key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        "key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
 
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return _contamination(docs, items, window, k, id_col, text_col, item_col, item_text_col).drop("key")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "benchmark"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents that hold a window of a benchmark item go."""
-    out = contamination(docs, tables.table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(tables.cut(out), docs.doc_id.eqNullSafe(F.col("_id")), "left_anti")
+    """Pipeline: rows whose text holds a window of a benchmark item go, whatever their doc_id; repeated rows alike."""
+    out = _contamination(docs, tables.table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("key").alias("_key")).distinct()
+    return docs.join(tables.cut(out), F.xxhash64("doc_id", "text") == F.col("_key"), "left_anti")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -78,8 +78,8 @@ def _recipes(batches: Iterator[pa.RecordBatch], chunks: bool) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(shas), pa.array(recipes, pa.list_(pa.int64()))], ["key", "doc_id", "sha", "recipe"])
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: key, doc_id, keep_id, keep_key (one row's key in each group, of those with keep_id), group_size, sha."""
     docs = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     recipes = tables.cut(
         docs.mapInArrow(lambda it: _recipes(it, False), "key long, doc_id long, sha string, recipe array<long>")
@@ -100,11 +100,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     else:
         several = several.withColumn("ranks", F.lit(None).cast("map<int,int>"))
     rank_of = lambda i: F.coalesce(F.col("ranks")[i.cast("int")], F.lit(0)).cast("string")
-    lists = several.select("doc_id", "sha", F.concat_ws(",", F.transform("recipe", lambda f, i: F.concat_ws(":", f.cast("string"), rank_of(i)))).alias("list"))
-    groups = tables.cut(lists.groupBy("list").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    members = lists.join(groups, "list").select("doc_id", "keep_id", "group_size", "sha")
-    alone = recipes.join(again, "rh", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
-    return members.unionByName(alone).select(
+    lists = several.select("key", "doc_id", "sha", F.concat_ws(",", F.transform("recipe", lambda f, i: F.concat_ws(":", f.cast("string"), rank_of(i)))).alias("list"))
+    groups = lists.groupBy("list").agg(F.max(F.struct("doc_id", "key")).alias("top"), F.count("*").alias("group_size"))  # a null is less than any doc_id
+    groups = tables.cut(groups.select("list", F.col("top.doc_id").alias("keep_id"), F.col("top.key").alias("keep_key"), "group_size"))
+    members = lists.join(groups, "list").select("key", "doc_id", "keep_id", "keep_key", "group_size", "sha")
+    alone = recipes.join(again, "rh", "left_anti").select("key", "doc_id", F.col("doc_id").alias("keep_id"), F.col("key").alias("keep_key"), F.lit(1).cast("long").alias("group_size"), "sha")
+    return members.unionByName(alone)
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _grouped(docs, id_col, text_col).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
@@ -114,9 +120,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of equal texts the row with the largest doc_id stays."""
-    keep = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    """Pipeline: of equal texts one row stays, one with the largest doc_id; one without doc_id only if none has any."""
+    return tables.by_key(docs, _grouped(docs).where("key = keep_key").select("key"))
 
 
 SQL = """

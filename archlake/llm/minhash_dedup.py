@@ -124,13 +124,13 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, t: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _grouped(docs: DataFrame, shingle: int, percent: int, m: int, t: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: key, doc_id, n_shingles, component_id, keep_key (one row's key in each component, of those with component_id)."""
     docs = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = tables.cut(docs.mapInArrow(_summaries(shingle, m, t), "key long, doc_id long, n long, s1 long, s2 long, sig array<long>, bits array<long>"))
     some = rows.where("n > 0")
     # A node: the least key of those with one set.
-    sets = tables.cut(some.groupBy("n", "s1", "s2").agg(F.min("key").alias("node"), F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("bits").alias("bits")))
+    sets = tables.cut(some.groupBy("n", "s1", "s2").agg(F.min("key").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("top"), F.any_value("sig").alias("sig"), F.any_value("bits").alias("bits")))
     a = sets.select("node", "sig", F.posexplode(F.slice("sig", 1, m)).alias("i", "x"))
     keys = a.select("node", "i", "x", F.posexplode(F.slice("sig", m + 1, m)).alias("j", "y")).select(F.xxhash64("i", "x", "j", "y").alias("bucket"), "node", "i")
     heads = tables.cut(keys.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket"))
@@ -179,12 +179,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
             links = links.unionByName(more)
             label = tables.cut(components(links))
     # Of each component the least doc_id of all its documents.
-    named = tables.cut(sets.join(label, "node", "left").select("n", "s1", "s2", "id", F.coalesce("component", "node").alias("c")))
-    least = tables.cut(named.groupBy("c").agg(F.min("id").alias("component_id")))
-    named = tables.cut(named.join(least, "c").select("n", "s1", "s2", "component_id"))
-    out = some.join(named, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = tables.cut(sets.join(label, "node", "left").select("n", "s1", "s2", "top", F.coalesce("component", "node").alias("c")))
+    least = tables.cut(named.groupBy("c").agg(F.min("top").alias("top")).select("c", F.col("top.doc_id").alias("component_id"), F.col("top.key").alias("keep_key")))
+    named = tables.cut(named.join(least, "c").select("n", "s1", "s2", "component_id", "keep_key"))
+    out = some.join(named, ["n", "s1", "s2"]).select("key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "keep_key")
+    none = rows.where("n = 0").select("key", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("key").alias("keep_key"))
+    return out.unionByName(none)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 10, t: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    out = _grouped(docs, shingle, percent, m, t, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +198,5 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of each group of near-duplicates (five-word shingles, 0.8) the least doc_id stays."""
-    keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(tables.cut(keep), docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    """Pipeline: of each group of near-duplicates (five-word shingles, 0.8) one row stays, one with the least doc_id; one without doc_id only if none has any. Of identical rows one stays, texts without words too."""
+    return tables.by_key(docs, _grouped(docs, shingle=5, percent=80, m=10, t=2).where("key = keep_key").select("key"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -38,3 +39,12 @@ def drop(df: DataFrame | None) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def by_key(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs' rows of the given keys, xxhash64 of doc_id and text; one row of each. keys: key, as often as docs has rows of it."""
+    keys = cut(keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n")))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    once = keyed.join(keys.where("_n = 1").select("_key"), "_key", "left_semi")
+    again = keyed.join(keys.where("_n > 1").select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(again).select(*docs.columns)

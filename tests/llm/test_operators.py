@@ -253,3 +253,62 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
     assert 0 < out.select("doc_id").distinct().count() < d.count() and set(out.columns) == {"doc_id", "piece", "start", "length", "bin_id"}
+
+
+def one_exact(docs):
+    groups = {}
+    for r in docs:
+        groups.setdefault(low(r[1]), []).append(r)
+    return [max(g, key=lambda r: -1 if r[0] is None else r[0]) for g in groups.values()]
+
+
+def one_near(docs):
+    docs, sets = list({r[:2]: r for r in docs}.values()), []
+    for _, t, *_ in docs:
+        w = re.findall(r"[^\x20\x09-\x0d]+", low(t))
+        sets.append({tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if w else set())
+    of = list(range(len(docs)))
+    for _ in docs:
+        for i in range(len(docs)):
+            for j in range(len(docs)):
+                if sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    of[i] = min(of[i], of[j])
+    return [min((docs[i] for i in range(len(docs)) if of[i] == c), key=lambda r: (r[0] is None, r[0] or 0)) for c in sorted(set(of))]
+
+
+def uncontaminated(docs, items):
+    w = lambda t: f" {' '.join(re.findall(r'[^\x00-\x2f\x3a-\x60\x7b-\x7f]+', low(t)))} "
+    windows = [f" {' '.join(x[p : p + 10])} " for _, t in items for x in [w(t).split()] for p in range(max(1, len(x) - 9)) if x]
+    return [r for r in docs if not any(x in w(r[1]) for x in windows)]
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    long_ = [say(60) for _ in range(8)]
+    leak = say(20)
+    texts = [
+        (None, long_[0]), (None, long_[0]), (None, long_[0].upper()), (None, long_[1]), (1, long_[1]), (1, long_[1]), (2, long_[1]), (None, f"{say(5)} {leak} {say(5)}"), (None, long_[2]),
+        (3, long_[3]), (3, f"{say(9)} {leak}"), (3, long_[3]), (4, long_[4]), (5, f"{long_[4]} {say(1)}"), (None, f"{long_[4]} {say(1)}"), (None, f"{long_[5]} {say(1)}"), (None, f"{long_[5]} {say(1)}"),
+        (6, long_[6]), (6, f"{long_[6]} {say(1)}"), (7, None), (7, ""), (None, None), (8, long_[7]), (8, long_[7]), (None, "no words to share"),
+    ]
+    data = [(i, t, "en", "s", len(t or "")) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs, items = spark.createDataFrame(data, schema).repartition(3), [(1, leak)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = lambda rows: sorted((repr(r[0]), low(r[1])) for r in rows)
+    ids = lambda rows: sorted((repr(r[0]), len(r[1].encode())) for r in rows if r[1])
+    got = seen(exact_dedup.stage(spark, docs, str(tmp_path)).collect())
+    assert got == seen(one_exact(data))
+    got, want = minhash_dedup.stage(spark, docs, str(tmp_path)).collect(), one_near(data)
+    assert sorted(repr(r[0]) for r in got) == sorted(repr(r[0]) for r in want)
+    assert seen(decontaminate.stage(spark, docs, str(tmp_path)).collect()) == seen(uncontaminated(data, items))
+    clean = toxicity.stage(spark, docs, str(tmp_path)).collect()
+    assert len(clean) > 10
+    want = uncontaminated(one_near(one_exact([tuple(r) for r in clean])), items)
+    packed = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        packed.setdefault(repr(r.doc_id), []).append(r.length)
+    assert {i: (len([n for n in x if n])) for i, x in packed.items() if any(x)} == dict(Counter(i for i, _ in ids(want)))
