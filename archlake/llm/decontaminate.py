@@ -9,8 +9,9 @@ fingerprints that may match; those are joined with the items', and each
 (document, item) hit is extended on the words themselves.
 
 Null and empty texts have no words, items without words no windows. Items of
-one text count each. Repeated rows are judged alike; other columns are not
-read.
+one text count each. Items without item_id count like others in n_hit, and all
+of them as one in n_items; they are left out of items_sha256 only. Repeated
+rows are judged alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def _item_marks(k: int, w: int):
                     if len(few):
                         own, fp = np.concatenate([own, few]), np.concatenate([fp, ragged.grams(h, m)[ptr[few]]])
                         short = np.concatenate([short, np.full(len(few), m, np.int32)])
-                yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(own)), pa.array(ragged.signed(fp)), pa.array(short)], ["item_id", "fp", "short"])
+                yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(own)), pa.array(ragged.signed(fp)), pa.array(short)], ["item", "fp", "short"])
 
     return run
 
@@ -116,19 +117,20 @@ def _contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     """One row per document: key, doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     w = window - k + 1
     items = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
-    marks = tables.cut(items.mapInArrow(_item_marks(k, w), "item_id string, fp long, short int").distinct())
+    items = items.withColumn("item", F.xxhash64(F.col("item_id").isNull(), F.coalesce("item_id", F.lit("")), "text"))
+    marks = tables.cut(items.mapInArrow(_item_marks(k, w), "item long, fp long, short int").distinct())
     shorts = sorted(r[0] for r in marks.where("short > 0").select("short").distinct().collect())
     docs = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = bitmaps.build(marks.select("fp"))
     rows = tables.cut(docs.mapInArrow(_doc_marks(k, w, shared, shorts), "key long, doc_id long, n_words long, fps array<long>, text string"))
     some = rows.where("size(fps) > 0")
-    pairs = some.select("key", F.explode("fps").alias("fp")).join(marks.select("fp", "item_id"), "fp").select("key", "item_id").distinct()
-    texts = items.withColumnRenamed("text", "item_text").where("item_id is not null")
-    hits = tables.cut(pairs).join(some.select("key", "text").dropDuplicates(["key"]), "key").join(texts, "item_id").select("key", "item_id", "text", "item_text")
+    pairs = some.select("key", F.explode("fps").alias("fp")).join(marks.select("fp", "item"), "fp").select("key", "item").distinct()
+    texts = items.withColumnRenamed("text", "item_text")
+    hits = tables.cut(pairs).join(some.select("key", "text").dropDuplicates(["key"]), "key").join(texts, "item").select("key", "item_id", "text", "item_text")
     found = hits.mapInArrow(_extend(window), "key long, item_id string, hits array<int>")
-    found = tables.cut(found.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")))
+    found = tables.cut(found.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("no_id")))
     return rows.join(found, "key", "left").select(
-        "key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        "key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.when(F.col("items").isNotNull(), F.size("items") + F.col("no_id")), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 

@@ -1,5 +1,6 @@
 """Operators against brute force on small tables, odd rows among them."""
 
+import hashlib
 import math
 import random
 import re
@@ -102,6 +103,24 @@ def test_contamination(spark, docs):
     assert sorted((repr(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in got.collect()) == sorted(want)
 
 
+def test_contamination_by_items_without_id(spark, docs):
+    a, b = rows()[8][1].split(), rows()[9][1].split()
+    items = [(None, " ".join(a[5:30])), (None, " ".join(b[20:45])), (1, " ".join(a[25:50])), (None, "two"), (None, None)]
+    w = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t))
+    want = []
+    for i, t, *_ in rows():
+        d, hit, ids = w(t), set(), set()
+        for item, text in items:
+            x = w(text)
+            k = min(10, len(x))
+            at = [p for p in range(len(d) - k + 1) for q in range(len(x) - k + 1) if k and d[p : p + k] == x[q : q + k]]
+            hit.update(p + j for p in at for j in range(k))
+            ids |= {item} if at else set()
+        want.append((repr(i), len(hit), len(ids), hashlib.sha256(",".join(str(x) for x in ids if x is not None).encode()).hexdigest(), bool(hit)))
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((repr(r.doc_id), r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want) and len({x[2] for x in want}) == 3
+
+
 def test_packing(docs):
     got = packing.pack(docs, F.octet_length("text"), F.md5("text"), 300, per_shard=10).collect()
     assert sum(r.length for r in got) == sum(len((t or "").encode()) for _, t, *_ in rows())
