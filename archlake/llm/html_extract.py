@@ -11,7 +11,8 @@ decides.
 
 Null and empty html have no text. Scripts, styles, comments and markup are no
 text; character references are decoded, white space inside a block becomes one
-space. Very long pages are read whole. Repeated rows and nulls in other
+space. Very long pages are read whole; only training takes their first blocks.
+An svg start tag that closes itself holds nothing. Repeated rows and nulls in other
 columns do no harm; other columns are not read.
 """
 
@@ -86,7 +87,7 @@ def blocks(page: str) -> list[Block]:
                     del open_[i:]
                     break
             continue
-        if name in RAW:
+        if name in RAW and not (name == "svg" and m[3].rstrip().endswith("/")):
             if name not in INLINE:
                 flush()
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -297,14 +298,14 @@ def remade(page: list[Block], label: np.ndarray, rng: random.Random) -> tuple[li
     return [b for b, _ in out], np.array([y for _, y in out], np.float32)
 
 
-def learn(pages: DataFrame, most: int = 300) -> Labeller:
-    """A labeller from at most `most` pages, the first by hash, each as it is and remade."""
+def learn(pages: DataFrame, most: int = 300, most_blocks: int = 2000) -> Labeller:
+    """A labeller from at most `most` pages, the first by hash, each as it is and remade; of longer pages the first most_blocks blocks."""
     rows = pages.where("html is not null").select(F.xxhash64("page_id", "html").alias("h"), "html")
     ids = rows.select("h").distinct().orderBy("h").limit(most)
     some = sorted({r["h"]: r["html"] for r in rows.join(F.broadcast(ids), "h").toLocalIterator()}.items())
     rng, xs, ys = random.Random(5), [], []
     for _, page in some:
-        b = blocks(page)[:2000]
+        b = blocks(page)[:most_blocks]
         y = placed(b)
         if b and y.any():
             for x, z in ((b, y), remade(b, y, rng)):

@@ -239,6 +239,22 @@ def test_blocks():
     assert html_extract.blocks("") == [] and html_extract.blocks("<p") == [("<p", (), 0.0)]
 
 
+def test_self_closing_svg():
+    page = '<article><p>one <svg class="i" />two</p><svg/><p>three</p><svg><text>no</text></svg><p>four</p></article>'
+    assert [t for t, *_ in html_extract.blocks(page)] == ["one", "two", "three", "four"]
+    assert [t for t, *_ in html_extract.blocks('<p>a</p><svg viewBox="0 0 1 1"/><p>b')] == ["a", "b"]
+
+
+def test_most_blocks(spark, monkeypatch):
+    lengths, remade = [], html_extract.remade
+    monkeypatch.setattr(html_extract, "remade", lambda b, y, rng: lengths.append(len(b)) or remade(b, y, rng))
+    monkeypatch.setattr(html_extract.Labeller, "fit", lambda self, xs, ys: self)
+    df = spark.createDataFrame([(1, "u", "<article>" + "<p>word</p>" * 2500)], "page_id long, url string, html string")
+    html_extract.learn(df)
+    html_extract.learn(df, most_blocks=2400)
+    assert lengths == [2000, 2400]
+
+
 def test_labeller(spark):
     page = lambda i: f"<html><body><nav><ul><li><a>{say(1)}</a></li></ul></nav><div class=ad>{say(6)}</div><article><h1>{say(5)}</h1><p>{say(40)}.</p></article><footer>{say(5)}</footer></body></html>"
     df = spark.createDataFrame([(i, "u", page(i)) for i in range(120)] + [(200, None, None), (201, "u", "")], "page_id long, url string, html string")
