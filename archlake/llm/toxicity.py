@@ -194,27 +194,38 @@ def train(texts: list[str], toxic: list[int], odds: float = 1.0, rounds: int = 5
 _CACHE: dict = {}
 
 
-def _score(shared, threshold: float, most: int = 500_000):
+def _word_scores(model: Model, most: int = 500_000):
+    """Scores of a slice's words as its chain has them, with what belongs to them; keeps at most `most` words that it has scored."""
+    if model.stamp not in _CACHE:
+        _CACHE.clear()
+    known = _CACHE.setdefault(model.stamp, {})  # a worker's next tasks find the words it has scored
+
+    def marginals(column: pa.Array) -> tuple:
+        low, off, ws, we, ptr, h = _tokens(column)
+        raw = low.tobytes()
+        uniq, at, ids = np.unique(h, return_index=True, return_inverse=True)
+        if len(known) > most:
+            known.clear()
+        s = []
+        for u, a, b in zip(uniq.tolist(), ws[at].tolist(), we[at].tolist()):
+            v = known.get(u)
+            if v is None:
+                v = known[u] = model.word_score(raw[a:b].decode())
+            s.append(v)
+        p = model.marginals(np.array(s)[ids] if len(h) else np.zeros(0), ptr)
+        return low, off, ws, we, ptr, p
+
+    return marginals
+
+
+def _score(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if model.stamp not in _CACHE:
-            _CACHE.clear()
-        known = _CACHE.setdefault(model.stamp, {})  # a worker's next tasks find the words it has scored
+        marginals = _word_scores(model)
         for batch in batches:
             for lo, hi in ragged.slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
-                low, off, ws, we, ptr, h = _tokens(part.column("text"))
-                raw = low.tobytes()
-                uniq, at, ids = np.unique(h, return_index=True, return_inverse=True)
-                if len(known) > most:
-                    known.clear()
-                s = []
-                for u, a, b in zip(uniq.tolist(), ws[at].tolist(), we[at].tolist()):
-                    v = known.get(u)
-                    if v is None:
-                        v = known[u] = model.word_score(raw[a:b].decode())
-                    s.append(v)
-                p = model.marginals(np.array(s)[ids] if len(h) else np.zeros(0), ptr)
+                low, off, ws, we, ptr, p = marginals(part.column("text"))
                 score = model.scores(p, ptr)
                 spans: list[list] = [[] for _ in range(len(part))]
                 bad = np.flatnonzero(p >= threshold)
@@ -230,6 +241,21 @@ def _score(shared, threshold: float, most: int = 500_000):
     return run
 
 
+def _clean(shared, limit: float):
+    """Rows, with all their columns, whose text scores less than the limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        marginals = _word_scores(model)
+        for batch in batches:
+            for lo, hi in ragged.slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                *_, ptr, p = marginals(part.column("text"))
+                yield part.filter(pa.array(model.scores(p, ptr) < limit))
+
+    return run
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -261,7 +287,6 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents predicted toxic go."""
-    model = learn(docs, tables.table(spark, sf_dir, "labels"))
-    out = toxicity(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), model).where("predicted = 1").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(tables.cut(out), F.xxhash64("doc_id", "text") == F.col("_key"), "left_anti")
+    """Pipeline: documents predicted toxic go; each row is judged where it is, by its text, whatever its doc_id."""
+    shared = spark.sparkContext.broadcast(learn(docs, tables.table(spark, sf_dir, "labels")))
+    return docs.mapInArrow(_clean(shared, 0.5), docs.schema)
