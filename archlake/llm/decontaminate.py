@@ -108,7 +108,7 @@ def _extend(size: int):
                     keys.append(key)
                     items.append(item)
                     hits.append(sorted(inside))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.string()), pa.array(hits, pa.list_(pa.int32()))], ["key", "item_id", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items, pa.string()), pa.array(hits, pa.list_(pa.int32()))], ["key", "item_id", "hits"])
 
     return run
 
@@ -117,17 +117,17 @@ def _contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     """One row per document: key, doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     w = window - k + 1
     items = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
-    items = items.withColumn("item", F.xxhash64(F.col("item_id").isNull(), F.coalesce("item_id", F.lit("")), "text"))
-    marks = tables.cut(items.mapInArrow(_item_marks(k, w), "item long, fp long, short int").distinct())
+    items = items.withColumn("item", tables.row_key("item_id", "text"))
+    marks = tables.cut(items.mapInArrow(_item_marks(k, w), "item binary, fp long, short int").distinct())
     shorts = sorted(r[0] for r in marks.where("short > 0").select("short").distinct().collect())
-    docs = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(tables.row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = bitmaps.build(marks.select("fp"))
-    rows = tables.cut(docs.mapInArrow(_doc_marks(k, w, shared, shorts), "key long, doc_id long, n_words long, fps array<long>, text string"))
+    rows = tables.cut(docs.mapInArrow(_doc_marks(k, w, shared, shorts), "key binary, doc_id long, n_words long, fps array<long>, text string"))
     some = rows.where("size(fps) > 0")
     pairs = some.select("key", F.explode("fps").alias("fp")).join(marks.select("fp", "item"), "fp").select("key", "item").distinct()
     texts = items.withColumnRenamed("text", "item_text")
     hits = tables.cut(pairs).join(some.select("key", "text").dropDuplicates(["key"]), "key").join(texts, "item").select("key", "item_id", "text", "item_text")
-    found = hits.mapInArrow(_extend(window), "key long, item_id string, hits array<int>")
+    found = hits.mapInArrow(_extend(window), "key binary, item_id string, hits array<int>")
     found = tables.cut(found.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("no_id")))
     return rows.join(found, "key", "left").select(
         "key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.when(F.col("items").isNotNull(), F.size("items") + F.col("no_id")), F.lit(0)).cast("long").alias("n_items"),
@@ -146,8 +146,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: rows whose text holds a window of a benchmark item go, whatever their doc_id; repeated rows alike."""
-    out = _contamination(docs, tables.table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("key").alias("_key")).distinct()
-    return docs.join(tables.cut(out), F.xxhash64("doc_id", "text") == F.col("_key"), "left_anti")
+    out = _contamination(docs, tables.table(spark, sf_dir, "benchmark")).where("contaminated").select("key").distinct()
+    return tables.without(docs, out.withColumn("one", F.lit(False)))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

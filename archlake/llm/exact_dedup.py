@@ -80,16 +80,16 @@ def _recipes(batches: Iterator[pa.RecordBatch], chunks: bool) -> Iterator[pa.Rec
 
 def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: key, doc_id, keep_id, keep_key (one row's key in each group, of those with keep_id), group_size, sha."""
-    docs = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(tables.row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     recipes = tables.cut(
-        docs.mapInArrow(lambda it: _recipes(it, False), "key long, doc_id long, sha string, recipe array<long>")
+        docs.mapInArrow(lambda it: _recipes(it, False), "key binary, doc_id long, sha string, recipe array<long>")
         .select("key", "doc_id", "sha", "recipe", F.xxhash64("recipe").alias("rh"))
     )
     # Both tables are cut so that the joins read plain exchanges, whose hot partitions Spark can split.
     again = tables.cut(recipes.groupBy("rh").agg(F.count("*").alias("n")).where("n > 1").select("rh"))
     several = recipes.join(again, "rh", "left_semi")
     keys = tables.cut(several.select("key").distinct())
-    chunks = docs.join(keys, "key", "left_semi").mapInArrow(lambda it: _recipes(it, True), "key long, at int, fp long, chunk binary")
+    chunks = docs.join(keys, "key", "left_semi").mapInArrow(lambda it: _recipes(it, True), "key binary, at int, fp long, chunk binary")
     # Fingerprints that stand for several byte strings: none in practice.
     clash = tables.cut(chunks.groupBy("fp", "chunk").count().groupBy("fp").count().where("count > 1").select("fp"))
     if clash.take(1):
@@ -121,7 +121,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of equal texts one row stays, one with the largest doc_id; one without doc_id only if none has any."""
-    return tables.by_key(docs, _grouped(docs).where("key = keep_key").select("key"))
+    return tables.kept(docs, _grouped(docs))
 
 
 SQL = """

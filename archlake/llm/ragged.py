@@ -1,9 +1,12 @@
 """Vectorised words, word hashes and k-gram hashes over Arrow string columns.
 
 A batch of texts is one byte buffer with offsets; nothing here loops over
-bytes or words in Python. Word hashes are 64-bit polynomial hashes of the
-word's bytes, k-gram hashes polynomials of word hashes, both finished by a
-mixing step. They are the same in every process.
+bytes or words in Python, but for words of over LONG bytes. Word hashes are
+64-bit polynomial hashes of the word's bytes, of long words xxHash (a
+polynomial modulo 2**64 is weak on long regular words), k-gram hashes
+polynomials of word hashes, both finished by a mixing step. They are the same
+in every process. Hashes choose candidates; what follows from equal words is
+decided on ids() or the words.
 """
 
 from __future__ import annotations
@@ -12,7 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
+LONG = 32
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -98,9 +103,33 @@ def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray, piece: int = 1
         a, b = ws[i:j] - base, we[i:j] - base
         out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
         i = j
+    for i in np.flatnonzero(we - ws > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[ws[i] : we[i]].tobytes())
     return out
 
 
+def ids(data: np.ndarray, ws: np.ndarray, we: np.ndarray, known: dict[bytes, int], grow: bool = True) -> np.ndarray:
+    """Each word's number in `known`, by its bytes; words that aren't there are added, or -1."""
+    raw = data.tobytes()
+    spelled = [raw[a:b] for a, b in zip(ws.tolist(), we.tolist())]
+    if grow:
+        for x in set(spelled) - known.keys():
+            known[x] = len(known)
+    get = known.get
+    return np.fromiter((get(x, -1) for x in spelled), np.int64, len(spelled))
+
+
+def gram_ids(x: np.ndarray, k: int) -> np.ndarray:
+    """Of each x[i : i + k] a number that only equal ones share; x: numbers from 0 on."""
+    g, have = x, 1
+    while have < k and len(x) >= k:
+        step = min(have, k - have)
+        n = len(g) - step
+        _, g = np.unique(g[:n] * np.int64(int(g.max(initial=0)) + 1) + g[step:], return_inverse=True)
+        have += step
+    return g[: max(0, len(x) - k + 1)]
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of h[i : i + k] for each i that has k words to come (borders of texts are the caller's)."""
     n = len(h) - k + 1
