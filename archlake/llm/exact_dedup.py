@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ragged, tables
+from . import bitmaps, ragged, tables
 
 _GEAR = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64)
 
@@ -89,7 +89,9 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     again = tables.cut(recipes.groupBy("rh").agg(F.count("*").alias("n")).where("n > 1").select("rh"))
     several = recipes.join(again, "rh", "left_semi")
     keys = tables.cut(several.select("key").distinct())
-    chunks = docs.join(keys, "key", "left_semi").mapInArrow(lambda it: _recipes(it, True), "key binary, at int, fp long, chunk binary")
+    # Only texts that a bitmap of those keys lets through move.
+    sieved = bitmaps.sieve(docs.select("key", F.xxhash64("key").alias("h"), "text"), "h", bitmaps.build(keys.select(F.xxhash64("key").alias("h"))))
+    chunks = sieved.select("key", "text").join(keys, "key", "left_semi").mapInArrow(lambda it: _recipes(it, True), "key binary, at int, fp long, chunk binary")
     # Fingerprints that stand for several byte strings: none in practice.
     clash = tables.cut(chunks.groupBy("fp", "chunk").count().groupBy("fp").count().where("count > 1").select("fp"))
     if clash.take(1):
