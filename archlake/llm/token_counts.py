@@ -4,7 +4,9 @@ Texts are split into pre-tokens; the distinct ones of a batch that are not
 known yet lie side by side in one ragged array of symbols. Each round finds
 the lowest rank among every sequence's adjacent pairs and merges all places of
 that pair in that sequence at once, in all sequences together; what symbols
-survive is the count. As a merge's result was learnt after its parts, this
+survive is the count. Sequences of over LONG bytes would need a round for each
+of their many ranks; theirs are taken one at a time, each rank's places from
+an index that merges keep up to date. As a merge's result was learnt after its parts, this
 gives what merging one pair at a time does.
 
 Nulls and empty texts have 0 bytes and tokens. Special strings inside texts
@@ -14,6 +16,7 @@ without doc_id are counted like any other; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -27,6 +30,8 @@ from . import ragged, tables
 
 #: Fixed: the pre-token pattern of this vocabulary's library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes from which on a pre-token is merged by itself.
+LONG = 64
 _NONE = np.int64(2**62)
 
 
@@ -37,12 +42,24 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def pre_token_pattern(spec: dict) -> str:
+    """The pattern by which this vocabulary file has texts split; raises ValueError where it asks for what isn't done here."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("only plain byte-level BPE is counted: no normalizer, other pattern, prefix space, word ends or other models")
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized")):
+        raise ValueError("added tokens that take in what stands around them aren't counted")
+    return PATTERN
+
+
 class Counter:
     """Counts tokens of texts by one vocabulary file; keeps at most `most` known pre-tokens."""
 
     def __init__(self, path: str, most: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        pattern = pre_token_pattern(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
@@ -52,15 +69,66 @@ class Counter:
         self.first = np.zeros(256, np.int64)
         for c, b in byte_symbols().items():
             self.first[b] = vocab[c]
-        self.find = regex.compile(PATTERN).findall
+        self.find = regex.compile(pattern).findall
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.known: dict[str, int] = {}
+        self.by_pair: dict[int, tuple[int, int]] | None = None
         self.most = most
 
     def merge(self, tokens: list[str]) -> np.ndarray:
         """Symbols that survive in each pre-token."""
         raw = [t.encode() for t in tokens]
+        out = np.zeros(len(raw), np.int64)
+        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
+        if short:
+            out[short] = self._together([raw[i] for i in short])
+        for i, r in enumerate(raw):
+            if len(r) > LONG:
+                out[i] = self._long(r)
+        return out
+
+    def _long(self, raw: bytes) -> int:
+        """The same for one long sequence, without a pass over the array for each rank: each rank's places are kept, by their left symbol."""
+        sym = self.first[np.frombuffer(raw, np.uint8)].tolist()
+        n = len(sym)
+        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
+        if self.by_pair is None:
+            self.by_pair = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made[self.ranks].tolist())))
+        pairs = self.by_pair
+        places: dict[int, list[int]] = {}
+        for i in range(n - 1):
+            p = pairs.get(sym[i] << 32 | sym[i + 1])
+            if p:
+                places.setdefault(p[0], []).append(i)
+        heap, left = list(places), n
+        heapq.heapify(heap)
+        while heap:
+            rank = heapq.heappop(heap)
+            for i in sorted(places.pop(rank)):
+                j = nxt[i]
+                if sym[i] < 0 or j >= n:
+                    continue
+                p = pairs.get(sym[i] << 32 | sym[j])
+                if not p or p[0] != rank:
+                    continue  # its symbols were merged meanwhile
+                sym[i], sym[j] = p[1], -1
+                left -= 1
+                after = nxt[i] = nxt[j]
+                if after < n:
+                    prev[after] = i
+                for a, b in ((prev[i], i), (i, after)):
+                    if a >= 0 and b < n:
+                        q = pairs.get(sym[a] << 32 | sym[b])
+                        if q:
+                            if q[0] not in places:
+                                places[q[0]] = []
+                                heapq.heappush(heap, q[0])
+                            places[q[0]].append(a)
+        return left
+
+    def _together(self, raw: list[bytes]) -> np.ndarray:
+        """Symbols that survive in each sequence, all merged in one ragged array."""
         size = np.array([len(r) for r in raw], np.int64)
         sym = self.first[np.frombuffer(b"".join(raw), np.uint8)]
         own = np.repeat(np.arange(len(raw)), size)
