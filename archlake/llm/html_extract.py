@@ -11,7 +11,9 @@ decides.
 
 Null and empty html have no text. Scripts, styles, comments and markup are no
 text; character references are decoded, white space inside a block becomes one
-space. Very long pages are read whole; only training takes their first blocks.
+space. Very long pages are read whole, in time that grows with their length
+even where tags, quotes or elements are never closed; only training takes
+their first blocks.
 An svg start tag that closes itself holds nothing. Repeated rows and nulls in other
 columns do no harm; other columns are not read.
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 
 from . import ragged, tables
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_QUOTE = re.compile(r"[\"'>]")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
@@ -45,19 +49,67 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 Block = tuple[str, tuple[str, ...], float]
 
 
+#: Of the open elements around a block its path has the innermost ones, at most so many.
+DEEPEST = 64
+
+
+class _Scanner:
+    """Tags of a page in order, in time that grows with its length whatever is malformed."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start, end, name (empty for comments and declarations), whether it ends an element, and attributes of the next tag; None if there is no more."""
+        page, n = self.page, len(self.page)
+        while True:
+            lo = page.find("<", at)
+            if lo < 0:
+                return None
+            if page.startswith(("<!--", "<![CDATA["), lo):
+                end = "-->" if page[lo + 2] == "-" else "]]>"
+                hi = page.find(end, lo + 4)
+                return lo, n if hi < 0 else hi + 3, "", False, ""
+            if page.startswith(("<!", "<?"), lo):
+                hi = page.find(">", lo) if lo < self.last else -1
+                return lo, n if hi < 0 else hi + 1, "", False, ""
+            if lo > self.last:
+                return None  # nothing closes a tag any more: the rest is text
+            m = _NAME.match(page, lo)
+            if not m:
+                at = lo + 1
+                continue
+            hi = self._end(m.end())
+            return lo, hi + 1, m[2].lower(), bool(m[1]), page[m.end() : hi]
+
+    def _end(self, at: int) -> int:
+        """The `>` that ends a tag: not one inside quotes, unless those don't come to an end."""
+        i = at
+        while self.quotes:
+            m = _QUOTE.search(self.page, i)
+            if m and m[0] == ">":
+                return m.start()
+            shut = self.page.find(m[0], m.end()) if m else -1
+            if shut < 0 or shut > self.last:
+                self.quotes = False  # quotes are broken from here on: they count as other characters
+            i = shut + 1
+        return self.page.find(">", at)
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in order: text, path (elements with their classes, ids and roles), share of it inside links."""
     out: list[Block] = []
     open_: list[tuple[str, str]] = []
+    count: Counter[str] = Counter()  # open elements by name
     text: list[str] = []
     linked = [0, 0]
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), _Scanner(page)
 
     def flush() -> None:
         if text:
             t = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if t:
-                out.append((t, tuple(x for _, x in open_), linked[1] / max(1, linked[0])))
+                out.append((t, tuple(x for _, x in open_[-DEEPEST:]), linked[1] / max(1, linked[0])))
             text.clear()
             linked[:] = 0, 0
 
@@ -65,29 +117,31 @@ def blocks(page: str) -> list[Block]:
         if piece:
             text.append(piece)
             linked[0] += len(piece)
-            if any(x[0] == "a" for x in open_):
+            if count["a"]:
                 linked[1] += len(piece)
 
+    def shut(i: int) -> None:
+        for name, _ in open_[i:]:
+            count[name] -= 1
+        del open_[i:]
+
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
+        tag = tags.next(at)
+        if not tag:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+        lo, hi, name, closes, attributes = tag
+        add(page[at:lo])
+        at = hi
         if not name:
             continue
-        name = name.lower()
-        if m[1]:
+        if closes:
             if name not in INLINE:
                 flush()
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    break
+            if count[name]:
+                shut(next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name))
             continue
-        if name in RAW and not (name == "svg" and m[3].rstrip().endswith("/")):
+        if name in RAW and not (name == "svg" and attributes.rstrip().endswith("/")):
             if name not in INLINE:
                 flush()
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -96,15 +150,17 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
         ends = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
-        for i in range(len(open_) - 1, -1, -1):
-            if open_[i][0] in ends:
-                del open_[i:]
-                break
-            if open_[i][0] in ("table", "ul", "ol", "div", "section", "article", "body"):
-                break
-        if name not in VOID and not m[3].rstrip().endswith("/"):
-            marks = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])).lower() if m[3] else ""
+        if any(count[x] for x in ends):
+            for i in range(len(open_) - 1, -1, -1):
+                if open_[i][0] in ends:
+                    shut(i)
+                    break
+                if open_[i][0] in ("table", "ul", "ol", "div", "section", "article", "body"):
+                    break
+        if name not in VOID and not attributes.rstrip().endswith("/"):
+            marks = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower() if attributes else ""
             open_.append((name, f"{name} {marks}".strip()))
+            count[name] += 1
     flush()
     return out
 
@@ -164,14 +220,15 @@ class Labeller:
         self.par["wo"] = rng.normal(0, 0.15, 2 * hidden).astype(np.float32)
         self.par["bo"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x: (time, pages, DIM); states stand still where mask is 0."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True, chunk: int = 4096) -> tuple[np.ndarray, list]:
+        """x: (time, pages, DIM); states stand still where mask is 0. What steps back through time need is kept only if asked for."""
         h = c = np.zeros((x.shape[1], self.hidden), np.float32)
         out, kept = np.empty((*x.shape[:2], self.hidden), np.float32), []
-        z = x @ self.par[f"wx{d}"] + self.par[f"b{d}"]
         k = self.hidden
         for t in range(len(x)):
-            a = z[t] + h @ self.par[f"wh{d}"]
+            if t % chunk == 0:
+                z = x[t : t + chunk] @ self.par[f"wx{d}"] + self.par[f"b{d}"]
+            a = z[t % chunk] + h @ self.par[f"wh{d}"]
             s = 1 / (1 + np.exp(-np.clip(a[:, : 3 * k], -30, 30)))
             g = np.tanh(a[:, 3 * k :])
             i, f, o = s[:, :k], s[:, k : 2 * k], s[:, 2 * k :]
@@ -179,7 +236,8 @@ class Labeller:
             c2 = m * (f * c + i * g) + (1 - m) * c
             th = np.tanh(c2)
             h2 = m * (o * th) + (1 - m) * h
-            kept.append((h, c, i, f, o, g, th))
+            if keep:
+                kept.append((h, c, i, f, o, g, th))
             h, c = h2, c2
             out[t] = h
         return out, kept
@@ -210,9 +268,9 @@ class Labeller:
             x[: len(p), i], mask[: len(p), i] = p, 1
         return x, mask
 
-    def _both(self, x: np.ndarray, mask: np.ndarray) -> tuple:
-        f, kf = self._run(x, mask, "f")
-        b, kb = self._run(x[::-1], mask[::-1], "b")
+    def _both(self, x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple:
+        f, kf = self._run(x, mask, "f", keep)
+        b, kb = self._run(x[::-1], mask[::-1], "b", keep)
         hidden = np.concatenate([f, b[::-1]], 2)
         return hidden, kf, kb, hidden @ self.par["wo"] + self.par["bo"]
 
@@ -251,7 +309,7 @@ class Labeller:
             while hi < len(order) and hi - lo < 256 and len(pages[order[hi]]) * (hi - lo + 1) < 20_000:
                 hi += 1
             some = order[lo:hi]
-            *_, z = self._both(*self._padded([pages[i] for i in some]))
+            *_, z = self._both(*self._padded([pages[i] for i in some]), keep=False)
             for j, i in enumerate(some):
                 out[i] = z[: len(pages[i]), j] > 0
             lo = hi
