@@ -1,20 +1,25 @@
 """Licence scans by sparse TF-IDF cosine and directory inheritance, in DataFrame operations only.
 
-Every line of every file is a possible notice, and a file as a whole a
-possible licence file. All terms of all files, not only the templates', are counted
-for their inverse document frequency. A line can only reach the threshold with
-one of its template's heavy terms (those without which the rest of the
-template is too short a vector), so only lines and files that hold such a term
-are scored. No weight is less than 1, which bounds a vector's length from below
-before its other terms are weighed: pieces that are too long for their
-threshold even so go no further. Neither step loses a notice. A file without a
-notice of its own inherits from the licence file in its nearest ancestor
-directory, by joining all its ancestors' paths.
+Each line of every file, and each block of several lines (without comment
+marks, up to the next blank line), is a possible notice; a file that is named
+as a licence (LICENSE, COPYING and the like) is scored as a whole too. All
+terms of all files, not only the templates', are counted for their inverse
+document frequency. A piece can only reach the threshold with one of its
+template's heavy terms (those without which the rest of the template is too
+short a vector), so only pieces that hold such a term are scored. No weight is
+less than 1, which bounds a vector's length from below before its other terms
+are weighed: pieces that are too long for their threshold even so go no
+further. Neither step loses a notice. Between licences that differ in a version
+or a clause that term decides: a piece must have one of the licence's own terms
+and none of another's. A file without a notice of its own inherits from the
+licence file in its nearest ancestor directory, by joining all its ancestors'
+paths.
 
 Nulls and empty texts have no notice but inherit. A null path is a file in
 the root. Equal scores go to the lesser template name; of several licence
 files in a directory the best match counts, then the least path. Repeated
-rows are scanned alike; other columns are not read.
+rows are scanned alike; very long lines and files are scored whole; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,17 +33,51 @@ from pyspark.sql import functions as F
 
 from . import tables
 
-#: Short public notices by licence.
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+#: Public notices by licence.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal"],
+    "AGPL-3.0": [_GNU.format(what="program", name="Affero General Public License", version="3"), "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "SPDX-License-Identifier: Apache-2.0"],
+    "BSD-2-Clause": [_BSD, "Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-3-Clause": [_BSD, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Eclipse Public License - v 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "GPL-2.0": [_GNU.format(what="program", name="General Public License", version="2"), "This work is licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "GPL-3.0": [_GNU.format(what="program", name="General Public License", version="3"), "This work is licensed under the GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "ISC": [_ISC, "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "LGPL-2.1": [_GNU.format(what="library", name="Lesser General Public License", version="2.1"), "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "LGPL-3.0": [_GNU.format(what="library", name="Lesser General Public License", version="3"), "Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "MIT": ["Released under the MIT License.", *_MIT, " ".join(_MIT), "SPDX-License-Identifier: MIT"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"],
 }
+#: Of these terms a licence's piece has one of the first and none of the second.
+DECIDES = {
+    "AGPL-3.0": (["affero", "agpl"], ["lesser"]),
+    "Apache-2.0": (["2", "2.0"], []),
+    "CC-BY-4.0": (["4.0"], ["nc", "noncommercial", "nd", "noderivatives", "sa", "sharealike"]),
+    "CC-BY-NC-4.0": (["nc", "noncommercial"], ["nd", "noderivatives", "sa", "sharealike"]),
+    "EPL-2.0": (["2.0"], []),
+    "GPL-2.0": (["2", "2.0", "gplv2"], ["lesser", "lgpl", "affero", "agpl", "3", "3.0", "gplv3"]),
+    "GPL-3.0": (["3", "3.0", "gplv3"], ["lesser", "lgpl", "affero", "agpl"]),
+    "LGPL-2.1": (["2.1", "lgplv2.1"], ["affero", "agpl"]),
+    "LGPL-3.0": (["lesser", "lgpl"], ["2.1", "affero", "agpl"]),
+    "MPL-2.0": (["2.0"], []),
+}
+#: A clause by which whole files of these two licences differ.
+CLAUSE, WITH_CLAUSE, WITHOUT_CLAUSE = r"(?i)\bendorse\s+or\s+promote\b|\bBSD[ -]3", "BSD-3-Clause", "BSD-2-Clause"
+NAMED = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice|unlicense)([._-][^/]*)?$|(?i)[.]licen[cs]e$"
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--+|\"{3}|'{3})?[ \t]*|[ \t]*(?:\*+/|--+>|\"{3}|'{3})?[ \t]*$"
+BREAK = "\r\n|\r|\n"
 _TERM = r"[a-z0-9]+(?:[.][0-9]+)*"
 
 
@@ -62,11 +101,30 @@ def heavy_terms(weights: dict[str, float], tf: Counter, threshold: float) -> set
     return out
 
 
+def _pieces(text: Column, path: Column) -> Column:
+    """at and text: lines from 0 on, the whole of a licence file at -1, blocks of several lines from -2 downwards."""
+    lines = F.transform(F.split(text, BREAK), lambda x, i: F.struct(i.cast("int").alias("at"), x.alias("text")))
+    plain = F.regexp_replace(F.regexp_replace(text, BREAK, "\n"), MARKS, "")
+    blocks = F.transform(F.split(plain, "\n{2,}"), lambda x, i: F.struct((-2 - i).cast("int").alias("at"), F.trim(x, F.lit("\n")).alias("text")))
+    blocks = F.filter(blocks, lambda x: x["text"].contains("\n"))
+    whole = F.when(path.rlike(NAMED), F.array(F.struct(F.lit(-1).alias("at"), text))).otherwise(F.array().cast("array<struct<at:int,text:string>>"))
+    return F.concat(lines, blocks, whole)
+
+
+def decided(license_: Column, own: Column) -> Column:
+    """Whether a piece with these terms may be of this licence."""
+    out = F.lit(True)
+    for name, (some, none) in DECIDES.items():
+        ok = F.arrays_overlap(own, F.array(*map(F.lit, some)))
+        out = F.when(license_ == name, ok & ~F.arrays_overlap(own, F.array(*map(F.lit, none))) if none else ok).otherwise(out)
+    return out
+
+
 def scan(files: DataFrame, line_threshold: float = 0.7, file_threshold: float = 0.3) -> DataFrame:
     """files: id, path, text. Returns id, path, license, found_in (header, file, inherited), score_permille, from_dir."""
     spark = files.sparkSession
     files = files.select(F.col("id"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    files = files.withColumn("key", F.xxhash64("id", "path", "text"))
+    files = files.withColumn("key", F.unhex(F.md5(F.to_json(F.struct("id", "path", "text")))))
     templates = _templates()
     vocabulary = sorted(set().union(*(tf for _, tf in templates)))
     # Of all files: how many there are and how many hold each term.
@@ -76,10 +134,8 @@ def scan(files: DataFrame, line_threshold: float = 0.7, file_threshold: float =
     idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
     heavy = {t: set().union(*(heavy_terms(idf, tf, x) for _, tf in templates)) for t, x in (("line", line_threshold), ("file", file_threshold))}
     word = lambda terms: "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(terms))) + ")(?![a-z0-9])"
-    lines = F.filter(F.transform(F.split("text", "\r\n|\r|\n"), lambda x, i: F.struct(i.alias("at"), x.alias("text"))), lambda x: x["text"].rlike(word(heavy["line"])))
     marked = files.where(F.col("text").rlike(word(heavy["line"] | heavy["file"])))
-    # One piece for each line and, at -1, one for the whole file.
-    pieces = marked.select("key", F.explode(F.concat(lines, F.array(F.struct(F.lit(-1).alias("at"), F.col("text"))))).alias("x")).select("key", "x.at", _terms(F.col("x.text")).alias("terms"))
+    pieces = marked.select("key", F.explode(F.filter(_pieces(F.col("text"), F.col("path")), lambda x: x["text"].rlike(word(heavy["line"])) | (x["at"] == -1))).alias("x")).select("key", "x.at", _terms(F.col("x.text")).alias("terms"))
     weights = F.broadcast(spark.createDataFrame([(t, idf[t]) for t in vocabulary], "t string, w double"))  # as many rows as the templates have terms
     known = pieces.select("key", "at", F.size("terms").alias("n"), F.explode("terms").alias("t")).join(weights, "t")
     counts = tables.cut(known.groupBy("key", "at", "t").agg(F.count("*").alias("tf"), F.first("n").alias("n"), F.first("w").alias("w")))
@@ -90,20 +146,25 @@ def scan(files: DataFrame, line_threshold: float = 0.7, file_threshold: float =
     rows = [(i, name, t, c * idf[t] * idf[t] / length[i]) for i, (name, tf) in enumerate(templates) for t, c in sorted(tf.items())]
     parts = spark.createDataFrame(rows, "form int, license string, t string, part double")
     dots = counts.join(F.broadcast(parts), "t").groupBy("key", "at", "form", "license").agg(F.sum(F.col("tf") * F.col("part")).alias("dot"))
-    limit = F.when(F.col("at") < 0, file_threshold).otherwise(line_threshold)
+    limit = F.when(F.col("at") == -1, file_threshold).otherwise(line_threshold)
     close = tables.cut(dots.join(shortest, ["key", "at"]).where(F.col("dot") >= (limit - 0.001) * F.col("shortest")).select("key", "at", "license", "dot"))
     # The full vectors of the pieces left; a repeated row's is a multiple of the row's, as is its product.
     left = tables.cut(close.select("key", "at").distinct())
     text_of = files.join(left.select("key").distinct(), "key", "left_semi")
-    every = F.transform(F.split("text", "\r\n|\r|\n"), lambda x, i: F.struct(i.alias("at"), x.alias("text")))
-    full = text_of.select("key", F.explode(F.concat(every, F.array(F.struct(F.lit(-1).alias("at"), F.col("text"))))).alias("x")).select("key", "x.at", "x.text").join(left, ["key", "at"], "left_semi")
+    full = text_of.select("key", F.explode(_pieces(F.col("text"), F.col("path"))).alias("x")).select("key", "x.at", "x.text").join(left, ["key", "at"], "left_semi")
     terms = tables.cut(full.select("key", "at", F.explode(_terms(F.col("text"))).alias("t")).groupBy("key", "at", "t").agg(F.count("*").alias("tf")))
     weight = F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1
     norms = terms.join(held_by, "t").groupBy("key", "at").agg(F.sqrt(F.sum(F.pow(F.col("tf") * weight, 2))).alias("norm"))
-    scored = close.join(norms, ["key", "at"]).select("key", "at", "license", F.round(1000 * F.col("dot") / F.col("norm")).cast("int").alias("score"))
+    telling = sorted({t for some, none in DECIDES.values() for t in some + none})
+    own_terms = terms.where(F.col("t").isin(telling)).groupBy("key", "at").agg(F.collect_set("t").alias("own"))
+    clause = text_of.select("key", F.col("text").rlike(CLAUSE).alias("clause")).distinct()
+    scored = close.join(norms, ["key", "at"]).join(own_terms, ["key", "at"], "left").join(clause, "key")
+    scored = scored.where(decided(F.col("license"), F.coalesce("own", F.array().cast("array<string>"))))
+    scored = scored.where(((F.col("license") != WITH_CLAUSE) | F.col("clause")) & ((F.col("license") != WITHOUT_CLAUSE) | ~F.col("clause")))
+    scored = tables.cut(scored.select("key", "at", "license", F.round(1000 * F.col("dot") / F.col("norm")).cast("int").alias("score")))
     best = lambda x: F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias(x)
-    header = scored.where((F.col("at") >= 0) & (F.col("score") >= 1000 * line_threshold)).groupBy("key").agg(best("h_license"), F.max("score").alias("h_score"))
-    whole = scored.where((F.col("at") < 0) & (F.col("score") >= 1000 * file_threshold)).groupBy("key").agg(best("f_license"), F.max("score").alias("f_score"))
+    header = scored.where((F.col("at") != -1) & (F.col("score") >= 1000 * line_threshold)).groupBy("key").agg(best("h_license"), F.max("score").alias("h_score"))
+    whole = scored.where((F.col("at") == -1) & (F.col("score") >= 1000 * file_threshold)).groupBy("key").agg(best("f_license"), F.max("score").alias("f_score"))
     own = tables.cut(header.join(whole, "key", "full"))
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     rows = tables.cut(files.select("key", "id", "path", parent.alias("dir")))
@@ -122,7 +183,7 @@ def scan(files: DataFrame, line_threshold: float = 0.7, file_threshold: float =
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source/lang/hundred/doc_id.txt."""
+    """Documents as files: source/lang/hundred/doc_id.txt, each hundredth the licence file of its directory."""
     d = tables.table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100").cast("string"), F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
     return scan(d.select(F.col("doc_id").alias("id"), path.alias("path"), "text")).withColumnRenamed("id", "doc_id")
