@@ -101,6 +101,16 @@ def heavy_terms(weights: dict[str, float], tf: Counter, threshold: float) -> set
     return out
 
 
+def any_of(terms: set[str]) -> str:
+    """A pattern for any of the terms that looks at each of their common beginnings once."""
+    by: dict[str, set[str]] = {}
+    for t in terms:
+        if t:
+            by.setdefault(t[0], set()).add(t[1:])
+    parts = [re.escape(c) + (any_of(rest) if rest != {""} else "") for c, rest in sorted(by.items())]
+    return "(?:" + "|".join(parts) + ")" + ("?" if "" in terms else "") if parts else ""
+
+
 def _pieces(text: Column, path: Column) -> Column:
     """at and text: lines from 0 on, the whole of a licence file at -1, blocks of several lines from -2 downwards."""
     lines = F.transform(F.split(text, BREAK), lambda x, i: F.struct(i.cast("int").alias("at"), x.alias("text")))
@@ -133,8 +143,8 @@ def scan(files: DataFrame, line_threshold: float = 0.7, file_threshold: float =
     df = dict(held_by.where(F.col("t").isin(vocabulary)).collect())  # the vocabulary bounds the rows
     idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
     heavy = {t: set().union(*(heavy_terms(idf, tf, x) for _, tf in templates)) for t, x in (("line", line_threshold), ("file", file_threshold))}
-    word = lambda terms: "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(terms))) + ")(?![a-z0-9])"
-    marked = files.where(F.col("text").rlike(word(heavy["line"] | heavy["file"])))
+    word = lambda terms: f"(?i)(?<![a-z0-9]){any_of(terms)}(?![a-z0-9])"
+    marked = files.where(F.col("text").rlike(word(heavy["line"])) | (F.col("path").rlike(NAMED) & F.col("text").rlike(word(heavy["file"]))))
     pieces = marked.select("key", F.explode(F.filter(_pieces(F.col("text"), F.col("path")), lambda x: x["text"].rlike(word(heavy["line"])) | (x["at"] == -1))).alias("x")).select("key", "x.at", _terms(F.col("x.text")).alias("terms"))
     weights = F.broadcast(spark.createDataFrame([(t, idf[t]) for t in vocabulary], "t string, w double"))  # as many rows as the templates have terms
     known = pieces.select("key", "at", F.size("terms").alias("n"), F.explode("terms").alias("t")).join(weights, "t")
