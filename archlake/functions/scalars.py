@@ -111,19 +111,24 @@ def unix_from_extra(raw: Column, packed: Column) -> Column:
 
 
 def is_text(content: Column) -> Column:
-    """Has a byte of 32 on, or tab, line feed or return; and none of 0-6 or 14-25."""
-    return content.rlike(r"[\t\n\r\x20-\x{10FFFF}]") & ~content.rlike(r"[\x00-\x06\x0E-\x19]")
+    """None of the bytes 0-6, 14-25 and 28-31; empty content is text."""
+    return ~content.rlike(r"[\x00-\x06\x0E-\x19\x1C-\x1F]")
 
 
 def is_text_buffer(content: Column) -> Column:
     """The stricter test: a byte of 32 on is needed."""
-    return content.rlike(r"[\x20-\x{10FFFF}]") & ~content.rlike(r"[\x00-\x06\x0E-\x19]")
+    return content.rlike(r"[\x20-\x{10FFFF}]") & is_text(content)
 
 
 def is_ascii(text: Column) -> Column:
     return text.rlike(r"^[\x00-\x7F]*$")
 
 
+def byte_values(data: Column) -> Column:
+    """Each byte of binary data as two hexadecimal digits."""
+    return F.regexp_extract_all(F.hex(data), F.lit("(?s).."), F.lit(0))
+
+
 def to_lf(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 

@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from archlake.functions import scalars as S
 from archlake.sources import codecs
 
-GROUPS = {"pkzip1": [1, 2, 3, 4, 5, 6], "pkzip2": [0, 8, 9], "winzip": [12, 14, 93, 95, 98], "reduce": [2, 3, 4, 5], "implode": [6], "dcl-implode": [10]}
+#: Methods that can be tried here, and those that a group of that name takes of them.
+CANDIDATES = sorted({*codecs.CODECS, *codecs.LEGACY})
+GROUPS = {
+    "all": CANDIDATES, "winzip": [m for m in CANDIDATES if m != 10], "pkzip1": [m for m in CANDIDATES if m <= 6], "pkzip2": [m for m in CANDIDATES if m <= 6 or m == 8],
+    "reduce": [2, 3, 4, 5], "implode": [6], "dcl-implode": [10],
+}
 NEVER_KEPT = (16, 20, 99)
 
 
 def selected(expression: str) -> list[int]:
-    """Methods of a list read from the left: names, numbers, groups and `all`, with `-` removing; raises if unknown or empty."""
+    """Methods of a list read from the left: names and groups, `all` among them, with `-` removing; raises if unknown, not to be had here, or empty."""
     known = {name: n for n, name, _ in S.METHODS} | {"store": 0, "deflate": 8}
     out: set[int] = set()
     for token in re.split(r"\s*,\s*", expression.strip().lower()):
         minus, name = token.startswith("-"), token.lstrip("-")
-        some = [n for n, *_ in S.METHODS] if name == "all" else GROUPS.get(name) or ([known[name]] if name in known else [int(name)] if name.isdigit() else None)
-        if some is None:
+        some = GROUPS.get(name) or ([known[name]] if name in known else None)
+        if some is None or not minus and not set(some) <= set(CANDIDATES):
             raise ValueError(f"unknown method: {token}")
         out = out - set(some) if minus else out | set(some)
     if not out:

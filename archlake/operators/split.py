@@ -15,17 +15,21 @@ def weight(name_length: Column, csize: Column, extra: Column | None = None) -> C
 
 
 def sequential(members: DataFrame, capacity: int) -> DataFrame:
-    """Bins in member order, a new one at overflow; members beyond the capacity raise."""
-    items = members.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("items"))
-    zero = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<idx:bigint,bin:int>>").alias("out"))
+    """Bins in member order, a new one at overflow; members beyond the capacity raise. One task holds an archive's numbers and weights and goes over them once."""
 
-    def step(acc: Column, x: Column) -> Column:
-        over = acc["used"] + x["weight"] > capacity
-        b = F.when(over, acc["bin"] + 1).otherwise(acc["bin"])
-        w = F.when(x["weight"] > capacity, F.raise_error(F.lit("a member is larger than a part")).cast("long")).otherwise(x["weight"])
-        return F.struct(b.alias("bin"), F.when(over, w).otherwise(acc["used"] + w).alias("used"), F.array_append(acc["out"], F.struct(x["idx"].alias("idx"), b.alias("bin"))).alias("out"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        if len(pdf) and pdf["weight"].max() > capacity:
+            raise ValueError("a member is larger than a part")
+        bins, used, out = 0, 0, []
+        for w in pdf["weight"].tolist():
+            if used + w > capacity:
+                bins, used = bins + 1, 0
+            used += w
+            out.append(bins)
+        return pdf.assign(bin=out)[["archive", "idx", "bin"]]
 
-    return items.select("archive", F.explode(F.aggregate("items", zero, step)["out"]).alias("x")).select("archive", "x.idx", "x.bin")
+    return members.select("archive", "idx", "weight").groupBy("archive").applyInPandas(run, "archive string, idx long, bin int")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:

@@ -1,7 +1,8 @@
 """Archive against file system: each mode gives the actions it would take, as rows.
 
 One full outer join by name and one ladder of conditions; members not named in
-the selection keep their rows. Actions: add, replace, copy, delete, skip.
+the selection keep their rows. Times are compared as packed ones are, in even
+seconds; a folder's size on disk is -1. Actions: add, replace, copy, delete, skip.
 """
 
 from __future__ import annotations
@@ -10,20 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _paired(members: DataFrame, fs: DataFrame) -> DataFrame:
-    m = members.select("archive", "name", F.col("mtime").alias("old_mtime"), F.col("usize").alias("old_usize"), F.lit(True).alias("in_archive"))
-    f = fs.select("archive", "name", F.col("mtime").alias("new_mtime"), F.col("usize").alias("new_usize"), F.lit(True).alias("on_disk"))
-    return m.join(f, ["archive", "name"], "full_outer")
-
-
 def even(t: Column) -> Column:
     """Rounded up to an even second, as packed times are."""
     s = F.unix_timestamp(t)
     return F.timestamp_seconds(s + s % 2)
 
 
+def _paired(members: DataFrame, fs: DataFrame) -> DataFrame:
+    m = members.select("archive", "name", even(F.col("mtime")).alias("old_mtime"), F.col("usize").alias("old_usize"), F.lit(True).alias("in_archive"))
+    f = fs.select("archive", "name", even(F.col("mtime")).alias("new_mtime"), F.col("usize").alias("new_usize"), F.lit(True).alias("on_disk"))
+    return m.join(f, ["archive", "name"], "full_outer")
+
+
 _BOTH = "in_archive and on_disk"
-_SAME = "old_mtime = new_mtime and old_usize = new_usize"
+#: An entry is current also if it is empty and its file a folder; it differs not if it is a folder's on disk.
+_CURRENT = "old_mtime = new_mtime and (old_usize = new_usize or old_usize = 0 and new_usize = -1)"
+_SAME = "old_mtime = new_mtime and (old_usize = new_usize or name like '%/' and new_usize = -1)"
 
 
 def _ladder(df: DataFrame, *steps: tuple[str, str], last: str) -> DataFrame:
@@ -46,7 +49,7 @@ def freshen(members: DataFrame, fs: DataFrame) -> DataFrame:
 
 
 def filesync(members: DataFrame, fs: DataFrame) -> DataFrame:
-    return _ladder(_paired(members, fs), (f"{_BOTH} and {_SAME}", "copy"), (_BOTH, "replace"), ("on_disk", "add"), last="delete")
+    return _ladder(_paired(members, fs), (f"{_BOTH} and {_CURRENT}", "copy"), (_BOTH, "replace"), ("on_disk", "add"), last="delete")
 
 
 def is_current(members: DataFrame, fs: DataFrame) -> bool:

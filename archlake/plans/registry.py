@@ -68,12 +68,17 @@ add("filter_recursive_tail", on_members(lambda m: m.where(glob.name_filter(F.col
 add("filter_stop_at_dir", on_members(lambda m: m.where(glob.matches(F.col("name"), "src1*/*/?5.TXT", ignore_case=True, stop_at_dir=True)).select("name")), "SELECT name FROM members WHERE regexp_full_match(name, '(?i)src1[^/]*/[^/]*/[^/]5[.]txt')")
 add("filter_suffix", lambda s, d: table(s, d, "pages").where(glob.has_suffix(F.col("url"), ".HTML:.zip")).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)([.]html|[.]zip)$')", "")
 add("filter_date_range", lambda s, d: table(s, d, "events").where(sync.between(F.col("ts"), "2024-01-05 00:00:00", "2024-01-20 00:00:00")).select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'", "")
-add("text_binary", on_members(lambda m: m.select("archive", "idx", S.is_text(F.col("text")).alias("is_text"), S.is_text_buffer(F.col("text")).alias("is_text_buffer"), S.is_ascii(F.col("text")).alias("is_ascii"))), r"SELECT archive, idx, regexp_matches(text, '[\t\n\r\x20-\x{10FFFF}]') AND NOT regexp_matches(text, '[\x00-\x06\x0E-\x19]') AS is_text, regexp_matches(text, '[\x20-\x{10FFFF}]') AND NOT regexp_matches(text, '[\x00-\x06\x0E-\x19]') AS is_text_buffer, regexp_full_match(text, '[\x00-\x7F]*') AS is_ascii FROM members")
+# Every third is empty; control characters 1 to 33 follow, but in each ninth.
+_odd = lambda m: m.select("archive", "idx", F.expr("concat(if(idx % 3 = 0, '', text), if(idx % 9 = 0, '', char(idx % 33 + 1)))").alias("text"))
+add("text_binary", on_members(lambda m: _odd(m).select("archive", "idx", S.is_text(F.col("text")).alias("is_text"), S.is_text_buffer(F.col("text")).alias("is_text_buffer"), S.is_ascii(F.col("text")).alias("is_ascii"))), r""", o AS (SELECT archive, idx, (CASE WHEN idx % 3 = 0 THEN '' ELSE text END) || (CASE WHEN idx % 9 = 0 THEN '' ELSE chr((idx % 33 + 1)::INT) END) AS text FROM members),
+b AS (SELECT archive, idx, text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT) AS bytes FROM o),
+t AS (SELECT *, len(list_filter(bytes, lambda x: x <= 6 OR x BETWEEN 14 AND 25 OR x BETWEEN 28 AND 31)) = 0 AS is_text FROM b)
+SELECT archive, idx, is_text, is_text AND len(list_filter(bytes, lambda x: x >= 32)) > 0 AS is_text_buffer, len(list_filter(bytes, lambda x: x > 127)) = 0 AS is_ascii FROM t""")
 add("grep_modes", on_members(lambda m: m.select("idx", search.contains(F.col("text"), "The").alias("plain"), search.contains(F.col("text"), "the", True).alias("any_case"), search.contains(F.col("text"), "with", False, True).alias("word"), search.contains(F.col("text"), "With", True, True).alias("word_any_case"))), "SELECT idx, contains(text, 'The') AS plain, contains(upper(text), 'THE') AS any_case, regexp_matches(text, '(^|[^A-Za-z0-9_])with([^A-Za-z0-9_]|$)') AS word, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])with([^A-Za-z0-9_]|$)') AS word_any_case FROM members")
 add("grep_lines", on_members(lambda m: search.lines(m, "[Ll]icensed under")), ", l AS (SELECT archive, name, string_split(text, chr(10)) AS ls FROM members) SELECT archive, name, i AS line_no, ls[i] AS line FROM l, unnest(range(1, len(ls) + 1)) AS t(i) WHERE regexp_matches(ls[i], '[Ll]icensed under')")
 add("grep_names", on_members(lambda m: search.names(m, "[Ll]icensed under")), "SELECT DISTINCT archive, name FROM members WHERE regexp_matches(text, '[Ll]icensed under')")
 
-_J = "SELECT archive, name, {case} AS action FROM (SELECT coalesce(m.archive, f.archive) AS archive, coalesce(m.name, f.name) AS name, m.name IS NOT NULL AS a, f.name IS NOT NULL AS d, m.mtime AS om, f.mtime AS nm, m.usize AS ou, f.usize AS nu FROM members m FULL JOIN fs f ON m.archive = f.archive AND m.name = f.name) {where}"
+_J = "SELECT archive, name, {case} AS action FROM (SELECT coalesce(m.archive, f.archive) AS archive, coalesce(m.name, f.name) AS name, m.name IS NOT NULL AS a, f.name IS NOT NULL AS d, m.mtime AS om, f.mtime + to_seconds(second(f.mtime) % 2) AS nm, m.usize AS ou, f.usize AS nu FROM members m FULL JOIN fs f ON m.archive = f.archive AND m.name = f.name) {where}"
 for _name, _f, _case, _where in (
     ("sync_add", sync.add, "CASE WHEN a AND d THEN 'replace' WHEN d THEN 'add' ELSE 'copy' END", ""),
     ("sync_update", sync.update, "CASE WHEN a AND d AND nm > om THEN 'replace' WHEN a THEN 'copy' ELSE 'add' END", ""),
@@ -136,7 +141,7 @@ add("verify_equal", on_members(lambda m: verify.equal(m.select("name", "sha1"),
 add("archive_status_severity", on_members(lambda m: verify.summary(m.where("idx % 19 = 0").select("archive", (F.col("idx") % 3).cast("int").alias("severity")), m.select("archive").distinct())), "SELECT archive, count(*) FILTER (idx % 19 = 0) AS findings, coalesce(max(CASE WHEN idx % 19 = 0 THEN idx % 3 END), 0)::INT AS severity FROM members GROUP BY archive")
 add("checksums", on_members(lambda m: m.select("idx", F.md5("text").alias("md5"), "sha1", F.sha2("text", 256).alias("sha256"))), "SELECT idx, md5(text) AS md5, sha1, sha256(text) AS sha256 FROM members")
 add("crc32_members", on_members(lambda m: m.select("idx", F.crc32("text").alias("crc"))))
-add("byte_histogram", on_members(lambda m: m.select("archive", F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("archive", "c").count().withColumnRenamed("count", "n")), "SELECT archive, c, count(*) AS n FROM (SELECT archive, unnest(string_split(text, '')) AS c FROM members) WHERE c <> '' GROUP BY ALL")
+add("byte_histogram", on_members(lambda m: m.select("archive", F.explode(S.byte_values(F.encode("text", "UTF-8"))).alias("byte")).groupBy("archive", "byte").agg(F.count("*").alias("n"))), "SELECT archive, byte, count(*) AS n FROM (SELECT archive, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM members) GROUP BY ALL")
 add("percent_all", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.percent(F.col("l_partkey"), F.col("l_suppkey") * 7).alias("percent"), S.permille(F.col("l_partkey") * 2000, F.col("l_suppkey") * 9000).alias("permille")), "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey = 0 THEN 0 ELSE ((200 * (l_partkey - l_suppkey * 7)) // greatest(l_partkey, 1) + 1) // 2 END AS percent, " + PERMILLE_SQL.format(u="(l_partkey * 2000)", c="(l_suppkey * 9000)") + " AS permille FROM lineitem", "")
 add("size_format", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.size_text(F.col("l_partkey") * F.col("l_suppkey") * F.col("l_orderkey")).alias("text"), S.size_parse(F.concat(F.col("l_partkey").cast("string"), F.element_at(F.array(*map(F.lit, ["", "K", "m", "x"])), (F.col("l_linenumber") % 4 + 1).cast("int")))).alias("parsed")),
     "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey * l_suppkey * l_orderkey AS n FROM lineitem), k AS (SELECT *, CASE WHEN n < 10240 THEN 0 WHEN n >> 10 < 10240 THEN 1 WHEN n >> 20 < 10240 THEN 2 ELSE 3 END AS s FROM x), v AS (SELECT *, n >> (10 * s) AS v FROM k) SELECT l_orderkey, l_linenumber, CASE WHEN v >= 1000 THEN (((v * 10) >> 10) // 10)::VARCHAR || '.' || (((v * 10) >> 10) % 10)::VARCHAR || ['', 'K', 'M', 'G', 'T'][s + 2] ELSE v::VARCHAR || ['', 'K', 'M', 'G', 'T'][s + 1] END AS text, CASE l_linenumber % 4 WHEN 0 THEN l_partkey WHEN 1 THEN l_partkey * 1024 WHEN 2 THEN l_partkey * 1048576 END AS parsed FROM v", "")
@@ -167,7 +172,8 @@ add("best_candidate", on_members(lambda m: optimize.ranked(m, _sizes(m), optimiz
         UNION ALL SELECT archive, idx, i, [8, 12, 93][i + 1], usize - (usize * ((idx * [3, 5, 7][i + 1]) % 11)) // 20 FROM members, unnest([0, 1, 2]) AS t(i)),
 r AS (SELECT *, row_number() OVER (PARTITION BY archive, idx ORDER BY csize, code) AS rn FROM c)
 SELECT archive, idx, method AS best_method, csize AS best_csize, code < 0 AS kept_original FROM r WHERE rn = 1""")
-add("codec_sizes", on_members(lambda m: optimize.encode_all(m.select("archive", "idx", F.encode("text", "UTF-8").alias("data")))))
+# Packed sizes are the codecs' own business; SQL knows which there are and that each gives the bytes back.
+add("codec_sizes", on_members(lambda m: optimize.encode_all(m.select("archive", "idx", F.encode("text", "UTF-8").alias("data"))).select("archive", "idx", "code", "method", (F.col("csize") > 0).alias("packed"), "ok")), "SELECT archive, idx, i::INT AS code, [0, 8, 12, 14, 93, 95][i + 1] AS method, i > 0 OR usize > 0 AS packed, true AS ok FROM members, unnest(range(0, 6)) AS t(i)")
 add("deflate_roundtrip", on_members(lambda m: m.select("idx", (codecs.decoded(F.lit(8), codecs.encoded(F.lit(8), F.encode("text", "UTF-8"))) == F.encode("text", "UTF-8")).alias("same"))), "SELECT idx, true AS same FROM members")
 
 
@@ -181,7 +187,9 @@ add("zip_scan", lambda s, d: ziparchive.tables_of(_archives(s, d), "members", "F
 add("zip_salvage", lambda s, d: ziparchive.tables_of(_archives(s, d), "members", "SALVAGE").select("archive", "name", "usize"), "SELECT archive, name, usize FROM members")
 add("zip_archives", lambda s, d: ziparchive.tables_of(_archives(s, d), "archives").select("archive", "entry_count", "status"), "SELECT archive, count(*) AS entry_count, 'ok' AS status FROM members GROUP BY archive")
 add("zip_contents", lambda s, d: ziparchive.tables_of(_archives(s, d), "payloads").select("archive", "name", F.sha1(codecs.decoded(F.col("method"), F.col("payload"))).alias("sha1")), "SELECT archive, name, sha1 FROM members")
-add("zip_test", lambda s, d: verify.contents(ziparchive.tables_of(_archives(s, d), "payloads")))
+# Of each seventh member the sum is changed, of each eleventh the length, of each thirteenth the method.
+_damaged = lambda p: p.withColumn("n", F.regexp_extract("name", r"(\d+)[.]txt$", 1).cast("long")).withColumn("crc", F.expr("if(n % 7 = 0, crc + 1, crc)")).withColumn("usize", F.expr("if(n % 11 = 0, usize + 1, usize)")).withColumn("method", F.expr("if(n % 13 = 0, 77, method)"))
+add("zip_test", lambda s, d: verify.contents(_damaged(ziparchive.tables_of(_archives(s, d), "payloads"))).groupBy("archive", "check", "severity", "detail").agg(F.count("*").alias("n")), "SELECT archive, 'content' AS \"check\", 3 AS severity, CASE WHEN idx % 13 = 0 THEN 'not decoded' WHEN idx % 11 = 0 THEN 'length' ELSE 'checksum' END AS detail, count(*) AS n FROM members WHERE idx % 7 = 0 OR idx % 11 = 0 OR idx % 13 = 0 GROUP BY ALL")
 
 
 def _rewritten(how, back=lambda e: e, volume_size: int | None = None):

@@ -24,8 +24,8 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def on_disk(members: DataFrame) -> DataFrame:
-    """Two thirds of the members, some newer, older or larger, and some new ones."""
-    hour = lambda shift: F.expr(f"timestampadd(HOUR, cast({shift} as int), mtime)")
+    """Two thirds of the members, some newer (by a second too, or two), older or larger, and some new ones."""
+    hour = lambda shift: F.expr(f"timestampadd(SECOND, cast(idx % 5 - 1 as int), timestampadd(HOUR, cast({shift} as int), mtime))")
     old = members.where("idx % 3 <> 0").select("archive", "name", hour("idx % 4 - 1").alias("mtime"), (F.col("usize") + F.when(F.col("idx") % 11 == 0, 1).otherwise(0)).alias("usize"))
     return old.unionByName(members.where("idx % 7 = 0").select("archive", F.concat(F.lit("new/"), "name").alias("name"), "mtime", "usize"))
 
@@ -37,7 +37,7 @@ m1 AS (SELECT *, usize - (usize * (idx % 10)) // 20 AS csize FROM m0),
 members AS (SELECT *, (sum(csize + 60) OVER (PARTITION BY archive ORDER BY idx) - (csize + 60))::BIGINT AS off, 35::BIGINT AS loclen FROM m1)
 """
 FS_SQL = """
-fs AS (SELECT archive, name, mtime + to_hours((idx % 4 - 1)::INT) AS mtime, usize + CASE WHEN idx % 11 = 0 THEN 1 ELSE 0 END AS usize FROM members WHERE idx % 3 <> 0
+fs AS (SELECT archive, name, mtime + to_hours((idx % 4 - 1)::INT) + to_seconds((idx % 5 - 1)::INT) AS mtime, usize + CASE WHEN idx % 11 = 0 THEN 1 ELSE 0 END AS usize FROM members WHERE idx % 3 <> 0
        UNION ALL SELECT archive, 'new/' || name, mtime, usize FROM members WHERE idx % 7 = 0)
 """
 PERMILLE_SQL = "CASE WHEN {u} = 0 THEN 0 ELSE sign({u} - {c})::BIGINT * CASE WHEN {u} > 2000000 THEN (abs({u} - {c}) + ({u} // 1000) // 2) // greatest({u} // 1000, 1) ELSE (1000 * abs({u} - {c}) + {u} // 2) // greatest({u}, 1) END END"

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from . import legacy
 
+#: Bytes that a member of unknown length may decode to.
 MOST = 1 << 30
 
 
@@ -25,10 +26,14 @@ def _deflate(data: bytes, level: int = 6) -> bytes:
 
 
 def _inflate(data: bytes, most: int = MOST) -> bytes:
-    d = zlib.decompressobj(-15)
+    return _whole(zlib.decompressobj(-15), data, most)
+
+
+def _whole(d, data: bytes, most: int) -> bytes:
+    """What d makes of the data, one byte beyond `most` at the most; raises if it ends too early."""
     out = d.decompress(data, most + 1)
-    if len(out) > most or not d.eof:
-        raise ValueError("too large or cut short")
+    if len(out) <= most and not d.eof:
+        raise ValueError("cut short")
     return out
 
 
@@ -39,20 +44,21 @@ def _lzma(data: bytes) -> bytes:
     return struct.pack("<BBHBI", 9, 4, 5, (2 * 5 + 0) * 9 + 3, 1 << 20) + lzma.compress(data, lzma.FORMAT_RAW, filters=_LZMA)
 
 
-def _unlzma(data: bytes) -> bytes:
+def _unlzma(data: bytes, most: int = MOST) -> bytes:
     n = struct.unpack_from("<H", data, 2)[0]
     props, size = data[4], struct.unpack_from("<I", data, 5)[0]
     f = [{"id": lzma.FILTER_LZMA1, "dict_size": max(size, 4096), "lc": props % 9, "lp": props // 9 % 5, "pb": props // 45}]
-    return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=f).decompress(data[4 + n :])
+    return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=f).decompress(data[4 + n :], most + 1)
 
 
-CODECS: dict[int, tuple[str, Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
-    0: ("store", bytes, bytes),
+#: Name, packing, and unpacking to so many bytes, or to one more where there is more.
+CODECS: dict[int, tuple[str, Callable[[bytes], bytes], Callable[..., bytes]]] = {
+    0: ("store", bytes, lambda b, most=MOST: bytes(b[: most + 1])),
     8: ("deflate", _deflate, _inflate),
-    12: ("bzip2", bz2.compress, bz2.decompress),
+    12: ("bzip2", bz2.compress, lambda b, most=MOST: _whole(bz2.BZ2Decompressor(), b, most)),
     14: ("lzma", _lzma, _unlzma),
-    93: ("zstd", lambda b: zstandard.ZstdCompressor(level=10).compress(b), lambda b: zstandard.ZstdDecompressor().decompressobj().decompress(b)),
-    95: ("xz", lzma.compress, lzma.decompress),
+    93: ("zstd", lambda b: zstandard.ZstdCompressor(level=10).compress(b), lambda b, most=MOST: zstandard.ZstdDecompressor().stream_reader(b).read(most + 1)),
+    95: ("xz", lzma.compress, lambda b, most=MOST: _whole(lzma.LZMADecompressor(), b, most)),
 }
 
 
@@ -72,13 +78,14 @@ def encode(method: int, data: bytes, flags: int = 0) -> bytes:
 
 
 def decode(method: int, data: bytes, flags: int = 0, length: int | None = None) -> bytes | None:
-    """The member's bytes; None where the method isn't known, needs a length that isn't given, or the data is bad."""
+    """The member's bytes, of a longer one than its length says one byte more than that; None where the method isn't known, needs a length that isn't given, or the data is bad or too large."""
     if method == 20 and data[:4] == b"\x28\xb5\x2f\xfd":
         method = 93
     try:
         if method in LEGACY:
             return None if length is None and method in NEED_LENGTH else LEGACY[method][2](data, flags, length)
-        return CODECS[method][2](data)
+        out = CODECS[method][2](data, MOST if length is None else length)
+        return None if length is None and len(out) > MOST else out
     except (KeyError, ValueError, EOFError, OSError, IndexError, zlib.error, lzma.LZMAError, struct.error, zstandard.ZstdError):
         return None
 

@@ -423,25 +423,32 @@ def deflate64(data: bytes) -> bytes:
 
 # The DCL's implode: its codes are fixed, literals may be coded, the length 519 ends the data.
 
-#: Fixed: runs of code lengths of literals, lengths and distances as (run, length), and each length code's base and extra bits.
-_DCL_LITERAL_RUNS = [
-    (1, 11), (8, 12), (1, 8), (1, 7), (2, 12), (1, 7), (12, 12), (1, 13), (5, 12), (1, 4), (1, 10), (1, 8), (1, 12), (1, 10), (1, 12), (1, 10),
-    (1, 8), (2, 7), (1, 8), (1, 9), (1, 7), (1, 6), (1, 7), (1, 8), (1, 7), (1, 6), (4, 7), (1, 8), (2, 7), (2, 8), (1, 12), (1, 11),
-    (1, 7), (1, 9), (1, 11), (1, 12), (1, 6), (1, 7), (2, 6), (1, 5), (1, 7), (2, 8), (1, 6), (1, 11), (1, 9), (1, 6), (1, 7), (2, 6),
-    (1, 7), (1, 11), (3, 6), (1, 7), (1, 9), (1, 8), (2, 9), (1, 11), (1, 8), (1, 11), (1, 9), (1, 12), (1, 8), (1, 12), (1, 5), (3, 6),
-    (1, 5), (3, 6), (1, 5), (1, 11), (1, 7), (1, 5), (1, 6), (2, 5), (1, 6), (1, 10), (4, 5), (1, 8), (1, 7), (2, 8), (1, 10), (2, 11),
-    (3, 12), (48, 13), (48, 12), (1, 13), (1, 12), (3, 13), (1, 12), (3, 13), (1, 12), (4, 13), (1, 12), (3, 13), (3, 12), (11, 13),
+#: The code length of each literal, length code and distance code, and each length code's base and extra bits.
+_DCL_LITERALS = [
+    11, 12, 12, 12, 12, 12, 12, 12, 12, 8, 7, 12, 12, 7, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 13, 12, 12, 12, 12, 12,
+    4, 10, 8, 12, 10, 12, 10, 8, 7, 7, 8, 9, 7, 6, 7, 8, 7, 6, 7, 7, 7, 7, 8, 7, 7, 8, 8, 12, 11, 7, 9, 11,
+    12, 6, 7, 6, 6, 5, 7, 8, 8, 6, 11, 9, 6, 7, 6, 6, 7, 11, 6, 6, 6, 7, 9, 8, 9, 9, 11, 8, 11, 9, 12, 8,
+    12, 5, 6, 6, 6, 5, 6, 6, 6, 5, 11, 7, 5, 6, 5, 5, 6, 10, 5, 5, 5, 5, 8, 7, 8, 8, 10, 11, 11, 12, 12, 12,
+    13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13,
+    13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12,
+    12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12,
+    13, 12, 13, 13, 13, 12, 13, 13, 13, 12, 13, 13, 13, 13, 12, 13, 13, 13, 12, 12, 12, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13, 13,
+]
+_DCL_LENGTHS = [
+    2, 3, 3, 3, 4, 4, 4, 5, 5, 5, 5, 6, 6, 6, 7, 7,
+]
+_DCL_DISTANCES = [
+    2, 4, 4, 5, 5, 5, 5, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7,
+    7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8,
 ]
-_DCL_LENGTH_RUNS = [(1, 2), (3, 3), (3, 4), (4, 5), (3, 6), (2, 7)]
-_DCL_DISTANCE_RUNS = [(1, 2), (2, 4), (4, 5), (15, 6), (16, 7), (10, 7), (16, 8)]
 _DCL_STEPS = [(3, 0), (2, 0), (4, 0), (5, 0), (6, 0), (7, 0), (8, 0), (9, 0), (10, 1), (12, 2), (16, 3), (24, 4), (40, 5), (72, 6), (136, 7), (264, 8)]
 _DCL_END = 519
 
 
 @cache
 def _dcl_codes() -> tuple[_Code, _Code, _Code]:
-    spread = lambda runs: _Code([n for run, n in runs for _ in range(run)], most_first=True)
-    return spread(_DCL_LITERAL_RUNS), spread(_DCL_LENGTH_RUNS), spread(_DCL_DISTANCE_RUNS)
+    literals, lengths, distances = (_Code(x, most_first=True) for x in (_DCL_LITERALS, _DCL_LENGTHS, _DCL_DISTANCES))
+    return literals, lengths, distances
 
 
 def dcl_explode(data: bytes) -> bytes:
