@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import scalars as S
+
 TYPE = "array<struct<tag:int,data:binary>>"
 
 
@@ -41,6 +43,13 @@ def ascending(extras: Column) -> Column:
     return tags == F.array_sort(F.array_distinct(tags))
 
 
+def entry_time(extras: Column) -> Column:
+    """The modification time, 32 bits unsigned, of the timestamp field whose flags say that it is there; else null."""
+    d = lookup(extras, 0x5455)
+    flags = F.conv(F.hex(F.substring(d, 1, 1)), 16, 10).cast("int")
+    return F.when((F.octet_length(d) >= 5) & (flags.bitwiseAND(1) == 1), S.from_le(d, 1, 4).cast("long"))
+
+
 def fwkcs_md5(extras: Column) -> Column:
     """Hex MD5 of the `MD5` content-signature field, or null."""
     d = lookup(extras, 0x4B46)

@@ -50,8 +50,19 @@ def to_regex(pattern: str, sets: bool = True, stop_at_dir: bool = False) -> str
     return "".join(out)
 
 
+def wildcard_at(name: Column) -> Column:
+    """Place, from 1, of the first wildcard that no backslash stands before; 0 if there is none."""
+    before = F.regexp_extract(name, r"(?s)^((?:\\.|[^*?\[\\])*)[*?\[]", 1)
+    return F.when(is_wild(name), F.length(before) + 1).otherwise(0)
+
+
 def is_wild(name: Column) -> Column:
-    return name.rlike(r"[*?\[]")
+    return name.rlike(r"(?s)^(?:\\.|[^*?\[\\])*[*?\[]")
+
+
+def has_metachar(name: Column) -> Column:
+    """Names that other tools would take for a pattern."""
+    return name.rlike(r"[*?\[\]\\]")
 
 
 def matches(name: Column, pattern: str, ignore_case: bool = False, sets: bool = True, stop_at_dir: bool = False, dos: bool = False) -> Column:

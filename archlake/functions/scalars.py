@@ -45,11 +45,71 @@ def change_percent(full: Column, packed: Column) -> Column:
     return F.when(F.abs(x) < 0.5, F.lit(0.0)).otherwise(x)
 
 
+def one_place(x: Column) -> Column:
+    """A double to one decimal place, as its exact binary value rounds, halves to even."""
+    r = F.abs(x)
+    a, b = r * 16, r * 4  # both exact; their sum and what it lost are 20 r
+    total = a + b
+    lost = (a - (total - (total - a))) + (b - (total - a))
+    k = F.floor(total / 2).cast("long")
+    over = (total - (k * 2 + 1).cast("double")) + lost
+    tenths = k + F.when(over > 0, 1).when(over < 0, 0).otherwise(k % 2)
+    return F.concat(F.when(x < 0, "-").otherwise(""), div(tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def change_text(full: Column, packed: Column) -> Column:
-    """`-` smaller, `+` larger, `=` equal, `?` unknown, and the change in percent to one place."""
+    """`-` smaller, `+` larger, `=` equal with the change in percent to one place; of nothing to something `?n/a`."""
     x = F.when(full == 0, F.lit(0.0)).otherwise(F.abs(packed - full).cast("double") * 100 / full.cast("double"))
-    mark = F.when(full.isNull() | packed.isNull(), "?").when(packed < full, "-").when(packed > full, "+").otherwise("=")
-    return F.when(mark == "?", mark).otherwise(F.concat(mark, F.format_string("%.1f%%", x)))
+    mark = F.when(packed > full, "+").when(packed < full, "-").otherwise("=")
+    return F.when((full == 0) & (packed != 0), "?n/a").otherwise(F.concat(mark, one_place(x)))
+
+
+def ratio_text(full: Column, packed: Column) -> Column:
+    """Saved percent to one place, negative where it grew; less than 0.05 either way is 0.0%."""
+    x = F.when(full == 0, F.lit(0.0)).otherwise((full - packed).cast("double") * 100 / full.cast("double"))
+    return F.concat(one_place(F.when(F.abs(x) < 0.05, F.lit(0.0)).otherwise(x)), F.lit("%"))
+
+
+def grouped_digits(n: Column) -> Column:
+    """A whole number in groups of three digits."""
+    return F.format_number(n, 0)
+
+
+def checked_sum(a: Column, b: Column) -> Column:
+    """The sum of two unsigned 64-bit numbers; null where it doesn't fit."""
+    total = a.cast("decimal(20,0)") + b.cast("decimal(20,0)")
+    return F.when(total <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), total.cast("decimal(20,0)"))
+
+
+def date_argument(text: Column) -> Column:
+    """`yyyy-mm-dd` or `mmddyyyy` as packed date at midnight, no earlier than 1980; null if it is neither or no month or day."""
+    part = lambda pattern, i: F.regexp_extract(text, pattern, i).try_cast("int")
+    iso, us = r"^\s*(\d{1,4})-(\d{1,2})-(\d{1,2})", r"^\s*(\d{1,2})(\d{1,2})(\d{1,4})"
+    is_iso = text.rlike(iso)
+    y, m, d = (F.when(is_iso, part(iso, i)).otherwise(part(us, j)) for i, j in ((1, 3), (2, 1), (3, 2)))
+    packed = F.shiftleft((y - 1980).cast("long"), 25).bitwiseOR(F.shiftleft(m.cast("long"), 21)).bitwiseOR(F.shiftleft(d.cast("long"), 16))
+    return F.when(m.between(1, 12) & d.between(1, 31), F.when(y < 1980, F.lit(_DOS_1980).cast("long")).otherwise(packed))
+
+
+def abbreviates(word: Column, short: Column, least: int = 1, ignore_case: bool = True) -> Column:
+    """Whether `short` is a beginning of the word, of so many characters at least."""
+    w, s = (F.upper(word), F.upper(short)) if ignore_case else (word, short)
+    return w.startswith(s) & (F.length(s) >= least)
+
+
+def ntfs_times_ok(data: Column) -> Column:
+    """Whether an NTFS field is four bytes and whole (tag, length, value) records, those of tag 1 with 24 bytes."""
+    h, n = F.hex(data), F.octet_length(data)
+    word = lambda at: F.conv(F.concat(F.substr(h, at * 2 + 3, F.lit(2)), F.substr(h, at * 2 + 1, F.lit(2))), 16, 10).cast("int")
+    state = lambda at, ok: F.struct(at.cast("int").alias("at"), ok.alias("ok"))
+
+    def step(a: Column, _: Column) -> Column:
+        at = a["at"]
+        bad = (word(at + 2) > n - at - 4) | ((word(at) == 1) & (word(at + 2) != 24))
+        return F.when(~a["ok"] | (at >= n), a).when(n - at < 4, state(at, F.lit(False))).otherwise(state(at + 4 + word(at + 2), ~bad))
+
+    walked = F.aggregate(F.sequence(F.lit(0), (n / 4).cast("int")), state(F.lit(4), n >= 4), step)
+    return walked["ok"]
 
 
 def size_text(n: Column) -> Column:

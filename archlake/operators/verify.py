@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archlake.functions import extras as X
 from archlake.sources import codecs, crypto
 
 
@@ -29,6 +30,12 @@ def contents(payloads: DataFrame, password: bytes | None = None) -> DataFrame:
     return _found(d.withColumn("why", why).where("why is not null"), "content", 3, F.col("why"))
 
 
+def signatures(members: DataFrame) -> DataFrame:
+    """Members whose content, in `raw`, hasn't the MD5 that their signature field, in `extras`, holds; without such a field nothing is found."""
+    stored = X.fwkcs_md5(F.col("extras"))
+    return _found(members.where(stored.isNotNull() & (stored != F.md5("raw"))), "signature", 2, stored)
+
+
 def equal(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of one side alone, with how often: empty when both hold the same."""
     right = right.select(*left.columns)
@@ -55,6 +62,11 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(a != b, at)
 
 
+def paired(index: DataFrame) -> DataFrame:
+    """index: id and role. Each id's rows in order, companions before their owner."""
+    return index.select("id", "role", F.row_number().over(Window.partitionBy("id").orderBy(F.col("role") == "owner")).alias("place"))
+
+
 def owners(index: DataFrame) -> DataFrame:
     """index: id, role (owner or companion), mode. Ids without exactly one owner, or without the companion that mode 2 asks for and no other."""
     g = index.groupBy("id").agg(F.sum((F.col("role") == "owner").cast("int")).cast("long").alias("owners"), F.sum((F.col("role") == "companion").cast("int")).cast("long").alias("companions"), F.max("mode").alias("mode"))

@@ -160,6 +160,24 @@ def _fields(m: DataFrame) -> DataFrame:
 add("extras_explode", on_members(lambda m: _fields(m).select("idx", F.posexplode("x").alias("place", "e")).select("idx", "place", "e.tag", F.decode("e.data", "UTF-8").alias("data"))), "SELECT idx, 0 AS place, 1 AS tag, archive AS data FROM members UNION ALL SELECT idx, 1, 19270, sha1 FROM members UNION ALL SELECT idx, 2, 1, name FROM members")
 add("extras_lookup", on_members(lambda m: _fields(m).select("idx", F.decode(X.lookup(F.col("x"), 1), "UTF-8").alias("first"), F.decode(X.last(F.col("x"), 1), "UTF-8").alias("last"), X.has_duplicates(F.col("x")).alias("doubled"), F.size(X.without(F.col("x"), 1)).alias("left"))), "SELECT idx, archive AS first, name AS last, true AS doubled, 1 AS \"left\" FROM members")
 
+_sig = lambda m: m.select("archive", "idx", F.col("text").alias("raw"), X.append(F.array().cast(X.TYPE), 0x4B46, F.concat(F.lit("MD5").cast("binary"), F.unhex(F.md5(F.concat("text", F.expr("if(idx % 17 = 0, 'x', '')")))))).alias("extras"))
+add("fwkcs_verify", on_members(lambda m: verify.signatures(_sig(m))), "SELECT archive, idx, 'signature' AS \"check\", 2 AS severity, md5(text || 'x') AS detail FROM members WHERE idx % 17 = 0")
+_time = lambda: F.concat(F.unhex(F.lpad(F.hex(F.col("idx") % 4), 2, "0")), S.le(F.col("idx") * 1000, 4))
+add("entry_times", on_members(lambda m: m.select("idx", X.entry_time(X.append(F.array().cast(X.TYPE), 0x5455, _time())).alias("mtime"))), "SELECT idx, CASE WHEN idx % 2 = 1 THEN idx * 1000 END AS mtime FROM members")
+add("extras_union", on_members(lambda m: _fields(m).select("idx", X.merged(F.col("x"), X.append(F.array().cast(X.TYPE), 1, F.encode(F.lit("n"), "UTF-8"))).alias("y"), "x").select("idx", F.size("y").alias("fields"), F.decode(X.lookup(F.col("y"), 1), "UTF-8").alias("first"), X.ascending(F.col("y")).alias("ascending"), X.ascending(F.col("x")).alias("was_ascending"), F.size(F.map_keys(X.as_map(F.col("y")))).alias("tags"), X.as_map(F.col("x")).isNull().alias("doubled"))), "SELECT idx, 2 AS fields, 'n' AS first, true AS ascending, false AS was_ascending, 2 AS tags, true AS doubled FROM members")
+_ntfs = lambda: F.concat(F.unhex(F.lit("00000000")), F.when(F.col("idx") % 3 == 0, F.unhex(F.lit("02000000"))).otherwise(F.unhex(F.lit(""))), S.le(F.lit(1), 2), S.le(F.when(F.col("idx") % 5 == 0, 20).otherwise(24), 2), F.unhex(F.repeat(F.lit("00"), F.when(F.col("idx") % 7 == 0, 23).otherwise(24))))
+add("ntfs_valid", on_members(lambda m: m.select("idx", S.ntfs_times_ok(_ntfs()).alias("ok"), S.ntfs_times_ok(F.unhex(F.lit("000000"))).alias("short"))), "SELECT idx, idx % 5 <> 0 AND idx % 7 <> 0 AS ok, false AS short FROM members")
+add("sizes_encrypted", on_members(lambda m: m.select("idx", S.encryption_overhead(F.col("idx") % 2 == 1, (F.col("idx") % 4).cast("int"), (F.col("idx") % 3 + 1).cast("int")).alias("overhead"), S.version_needed(F.col("method")).alias("version"), S.from_le(S.le(F.col("usize"), 8), 0, 8).cast("long").alias("u64"), S.from_le(S.le(F.col("usize") % 60000, 2), 0, 2).cast("long").alias("u16"))), "SELECT idx, CASE WHEN idx % 2 = 0 THEN 0 WHEN idx % 4 = 3 THEN 44 ELSE (idx % 3 + 1) * 4 + 16 END AS overhead, CASE method WHEN 0 THEN 10 WHEN 8 THEN 20 WHEN 12 THEN 46 ELSE 63 END AS version, usize AS u64, usize % 60000 AS u16 FROM members")
+_U, _C = "l_partkey * 100", "l_suppkey * 1000 + l_linenumber"
+add("ratio_texts", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.grouped_digits(F.expr(_U)).alias("digits"), S.ratio_text(F.expr(_U), F.expr(_C)).alias("ratio"), S.change_text(F.expr(_U), F.expr(_C)).alias("change"), F.round(S.change_percent(F.expr(_U), F.expr(_C)), 6).alias("percent")), f"SELECT l_orderkey, l_linenumber, format('{{:,}}', {_U}) AS digits, printf('%.1f%%', CASE WHEN abs(r) < 0.05 THEN 0.0 ELSE r END) AS ratio, CASE WHEN {_U} = 0 AND {_C} <> 0 THEN '?n/a' ELSE (CASE WHEN {_C} > {_U} THEN '+' WHEN {_C} < {_U} THEN '-' ELSE '=' END) || printf('%.1f', abs(r)) END AS change, round(CASE WHEN abs(r) < 0.5 THEN 0.0 ELSE r END, 6) AS percent FROM (SELECT *, CASE WHEN {_U} = 0 THEN 0.0 ELSE ({_U} - ({_C}))::DOUBLE * 100 / ({_U})::DOUBLE END AS r FROM lineitem)", "")
+add("sum_checked", lambda s, d: table(s, d, "orders").select("o_orderkey", S.checked_sum(F.lit(str(2**64 - 40_000)).cast("decimal(20,0)"), F.col("o_orderkey")).cast("string").alias("total")), "SELECT o_orderkey, CASE WHEN o_orderkey < 40000 THEN (18446744073709511616::HUGEINT + o_orderkey)::VARCHAR END AS total FROM orders", "")
+add("date_arguments", lambda s, d: table(s, d, "orders").select("o_orderkey", S.date_argument(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("iso"), S.date_argument(F.date_format("o_orderdate", "MMddyyyy")).alias("us"), S.date_argument(F.lit("1970-02-03")).alias("early"), S.date_argument(F.lit("2020-13-01")).alias("wrong")), "SELECT o_orderkey, p AS iso, p AS us, 2162688::BIGINT AS early, NULL::BIGINT AS wrong FROM (SELECT o_orderkey, ((year(o_orderdate) - 1980) << 25) + (month(o_orderdate) << 21) + (day(o_orderdate) << 16) AS p FROM orders)", "")
+add("option_abbreviations", lambda s, d: table(s, d, "part").select("p_partkey", S.abbreviates(F.lit("filesync"), F.substring(F.lit("FileSynchron"), 1, 1 + F.col("p_partkey").cast("int") % 12), 4).alias("any_case"), S.abbreviates(F.lit("filesync"), F.substring(F.lit("FileSync"), 1, 4), 2, False).alias("same_case")), "SELECT p_partkey, p_partkey % 12 BETWEEN 3 AND 7 AS any_case, false AS same_case FROM part", "")
+_PATTERN = "concat(element_at(array('a', 'b\\\\*', 'c?', '[d', 'e]', '\\\\', 'f\\\\[g*'), cast(idx % 7 as int) + 1), '/', name)"
+add("wildcards", on_members(lambda m: m.select("idx", glob.wildcard_at(F.expr(_PATTERN)).alias("at"), glob.is_wild(F.expr(_PATTERN)).alias("wild"), glob.has_metachar(F.expr(_PATTERN)).alias("meta"))), "SELECT idx, [0, 0, 2, 1, 0, 0, 5][idx % 7 + 1] AS at, idx % 7 IN (2, 3, 6) AS wild, idx % 7 <> 0 AS meta FROM members")
+add("deepest_first", on_members(lambda m: m.select("archive", "name", F.row_number().over(Window.partitionBy("archive").orderBy(F.encode("name", "UTF-8").desc())).alias("place"))), "SELECT archive, name, row_number() OVER (PARTITION BY archive ORDER BY encode(name) DESC)::INT AS place FROM members")
+add("pairs_in_order", lambda s, d: verify.paired(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("owner").alias("role")).unionByName(table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.lit("companion").alias("role")))), "SELECT id, role, row_number() OVER (PARTITION BY id ORDER BY role = 'owner')::INT AS place FROM (SELECT o_orderkey AS id, 'owner' AS role FROM orders UNION ALL SELECT l_orderkey, 'companion' FROM lineitem WHERE l_linenumber = 1)", "")
+
 
 def _sizes(m: DataFrame) -> DataFrame:
     """Sizes of three candidates by rule, so that the choice can be checked in SQL."""
