@@ -30,14 +30,21 @@ from . import bitmaps, ragged, tables
 _GEAR = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64)
 
 
+def _cuts(text: bytes, bits: int, step: int = 1 << 18) -> Iterator[int]:
+    """Places after bytes where the hash of the last 32 has `bits` low zeros, `step` bytes hashed at a time."""
+    for lo in range(0, len(text), step):
+        start = max(0, lo - 31)
+        h = _GEAR[np.frombuffer(text, np.uint8)[start : lo + step]]
+        for k in (1, 2, 4, 8, 16):
+            h[k:] = h[k:] + (h[:-k] << np.uint64(k))
+        yield from (np.flatnonzero((h[lo - start :] >> np.uint64(20)) & np.uint64((1 << bits) - 1) == 0) + lo + 1).tolist()
+
+
 def boundaries(text: bytes, bits: int = 10, least: int = 256, most: int = 8192) -> list[int]:
     """Ends of the chunks: where the hash of 32 bytes has `bits` low zeros, `least` to `most` bytes apart."""
     n, out, last = len(text), [], 0
     if n > least:
-        h = _GEAR[np.frombuffer(text, np.uint8)]
-        for k in (1, 2, 4, 8, 16):
-            h[k:] = h[k:] + (h[:-k] << np.uint64(k))
-        for c in (np.flatnonzero((h >> np.uint64(20)) & np.uint64((1 << bits) - 1) == 0) + 1).tolist():
+        for c in _cuts(text, bits):
             if c - last < least:
                 continue
             while c - last > most:
@@ -53,10 +60,14 @@ def boundaries(text: bytes, bits: int = 10, least: int = 256, most: int = 8192)
     return out
 
 
-def _recipes(batches: Iterator[pa.RecordBatch], chunks: bool) -> Iterator[pa.RecordBatch]:
-    """Rows key, doc_id, sha, recipe; with chunks: key, sha, at, fp, chunk."""
+def _recipes(batches: Iterator[pa.RecordBatch], bitmap=None) -> Iterator[pa.RecordBatch]:
+    """Rows key, doc_id, sha, recipe; with a bitmap, of rows whose h it lets through: key, at, fp, chunk."""
+    chunks = bitmap is not None
+    words = bitmaps.opened(bitmap) if chunks else None
     for batch in batches:
-        for lo, hi in ragged.slices(batch.column("text"), 8 << 20):
+        if chunks:
+            batch = batch.filter(pa.array(bitmaps.maybe(words, batch.column("h").to_numpy(zero_copy_only=False))))
+        for lo, hi in ragged.slices(batch.column("text"), 2 << 20):
             part = batch.slice(lo, hi - lo)
             data, off = ragged.utf8(part.column("text"))
             text = ragged.LOWER[data].tobytes()
@@ -82,16 +93,15 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per document: key, doc_id, keep_id, keep_key (one row's key in each group, of those with keep_id), group_size, sha."""
     docs = docs.select(tables.row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     recipes = tables.cut(
-        docs.mapInArrow(lambda it: _recipes(it, False), "key binary, doc_id long, sha string, recipe array<long>")
+        docs.mapInArrow(_recipes, "key binary, doc_id long, sha string, recipe array<long>")
         .select("key", "doc_id", "sha", "recipe", F.xxhash64("recipe").alias("rh"))
     )
     # Both tables are cut so that the joins read plain exchanges, whose hot partitions Spark can split.
     again = tables.cut(recipes.groupBy("rh").agg(F.count("*").alias("n")).where("n > 1").select("rh"))
     several = recipes.join(again, "rh", "left_semi")
-    keys = tables.cut(several.select("key").distinct())
-    # Only texts that a bitmap of those keys lets through move.
-    sieved = bitmaps.sieve(docs.select("key", F.xxhash64("key").alias("h"), "text"), "h", bitmaps.build(keys.select(F.xxhash64("key").alias("h"))))
-    chunks = sieved.select("key", "text").join(keys, "key", "left_semi").mapInArrow(lambda it: _recipes(it, True), "key binary, at int, fp long, chunk binary")
+    # Only texts that a bitmap of those rows' keys lets through are cut into chunks; what it lets through besides does no harm.
+    bitmap = bitmaps.build(several.select(F.xxhash64("key").alias("h")))
+    chunks = docs.select("key", F.xxhash64("key").alias("h"), "text").mapInArrow(lambda it: _recipes(it, bitmap), "key binary, at int, fp long, chunk binary")
     # Fingerprints that stand for several byte strings: none in practice.
     clash = tables.cut(chunks.groupBy("fp", "chunk").count().groupBy("fp").count().where("count > 1").select("fp"))
     if clash.take(1):

@@ -22,9 +22,21 @@ def folder(spark: SparkSession) -> str:
     return d
 
 
+#: Rows that a Python worker gets at a time, at most: batches of whole texts are held on both sides of the pipe.
+BATCH = 2000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, its Arrow batches of at most BATCH rows from now on; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(_BATCH_KEY)) <= BATCH:
+        spark.conf.set(_BATCH_KEY, str(BATCH))
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet and reads it: survives lost executors, and Spark knows its size when it joins."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     path = f"{folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -43,7 +55,7 @@ def drop(*dfs: DataFrame | None) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def row_key(id_col: str, text_col: str) -> Column:

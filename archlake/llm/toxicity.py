@@ -194,25 +194,25 @@ def train(texts: list[str], toxic: list[int], odds: float = 1.0, rounds: int = 5
 _CACHE: dict = {}
 
 
-def _word_scores(model: Model, most: int = 500_000):
-    """Scores of a slice's words as its chain has them, with what belongs to them; keeps at most `most` words that it has scored."""
+def _word_scores(model: Model, most: int = 1 << 19):
+    """Scores of a slice's words as its chain has them, with what belongs to them; keeps the scores of at most `most` words, as two arrays in order of their hashes."""
     if model.stamp not in _CACHE:
         _CACHE.clear()
-    known = _CACHE.setdefault(model.stamp, {})  # a worker's next tasks find the words it has scored
+        _CACHE[model.stamp] = np.zeros(0, np.uint64), np.zeros(0)  # a worker's next tasks find the words it has scored
 
     def marginals(column: pa.Array) -> tuple:
         low, off, ws, we, ptr, h = _tokens(column)
-        raw = low.tobytes()
         uniq, at, ids = np.unique(h, return_index=True, return_inverse=True)
-        if len(known) > most:
-            known.clear()
-        s = []
-        for u, a, b in zip(uniq.tolist(), ws[at].tolist(), we[at].tolist()):
-            v = known.get(u)
-            if v is None:
-                v = known[u] = model.word_score(raw[a:b].decode())
-            s.append(v)
-        p = model.marginals(np.array(s)[ids] if len(h) else np.zeros(0), ptr)
+        known, scores = _CACHE[model.stamp]
+        place = np.searchsorted(known, uniq)
+        seen = np.append(known, uniq[-1:] + np.uint64(1))[place] == uniq if len(uniq) else np.zeros(0, bool)
+        s, new = np.empty(len(uniq)), np.flatnonzero(~seen)
+        s[seen] = scores[place[seen]]
+        raw = low.tobytes()
+        s[new] = [model.word_score(raw[a:b].decode()) for a, b in zip(ws[at[new]].tolist(), we[at[new]].tolist())]
+        fits = len(known) + len(new) <= most
+        _CACHE[model.stamp] = (np.insert(known, place[new], uniq[new]), np.insert(scores, place[new], s[new])) if fits else (uniq, s)
+        p = model.marginals(s[ids] if len(h) else np.zeros(0), ptr)
         return low, off, ws, we, ptr, p
 
     return marginals
