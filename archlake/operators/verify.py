@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from archlake.functions import extras as X
 from archlake.sources import codecs, crypto
 
+from . import spans
+
 
 def _found(df: DataFrame, check: str, severity: int, detail: Column) -> DataFrame:
     return df.select("archive", "idx", F.lit(check).alias("check"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
@@ -30,6 +32,28 @@ def contents(payloads: DataFrame, password: bytes | None = None) -> DataFrame:
     return _found(d.withColumn("why", why).where("why is not null"), "content", 3, F.col("why"))
 
 
+def layout(taken: DataFrame) -> DataFrame:
+    """taken: archive, idx, beg, end of members' bytes. Those that begin before an earlier one has ended, and bytes before one that none has."""
+    over, gap = spans.overlaps(taken), spans.gaps(taken)
+    return _found(over, "overlap", 3, F.col("reached") - F.col("beg")).unionByName(_found(gap, "gap", 1, F.col("gap_bytes")))
+
+
+def fields(members: DataFrame, known: tuple[int, ...]) -> DataFrame:
+    """Members with extra fields of other tags than the known ones, which their detail names, or with two of one tag."""
+    odd = F.transform(F.filter("extras", lambda x: ~x["tag"].isin(*known)), lambda x: F.hex(x["tag"]))
+    why = F.when(F.size(odd) > 0, F.concat_ws(",", odd)).when(X.has_duplicates(F.col("extras")), "repeated")
+    return _found(members.withColumn("why", why).where("why is not null"), "field", 2, F.col("why"))
+
+
+def strict(members: DataFrame, local: DataFrame, known: tuple[int, ...]) -> DataFrame:
+    """What strict reading refuses: headers that differ, members' bytes that overlap or leave gaps, fields that aren't known. Members with sums after their data end where the next begins."""
+    taken = members.join(local.select("archive", "idx", "data_offset"), ["archive", "idx"])
+    late, end = F.col("flags").bitwiseAND(8) != 0, F.col("data_offset") + F.col("csize")
+    after = F.lead("offset").over(Window.partitionBy("archive").orderBy("offset", "idx"))
+    taken = taken.select("archive", "idx", F.col("offset").alias("beg"), F.when(late & after.isNotNull(), F.greatest(end, after)).otherwise(end).alias("end"))
+    return headers(members, local).unionByName(layout(taken)).unionByName(fields(members, known))
+
+
 def signatures(members: DataFrame) -> DataFrame:
     """Members whose content, in `raw`, hasn't the MD5 that their signature field, in `extras`, holds; without such a field nothing is found."""
     stored = X.fwkcs_md5(F.col("extras"))

@@ -160,6 +160,35 @@ def _fields(m: DataFrame) -> DataFrame:
 add("extras_explode", on_members(lambda m: _fields(m).select("idx", F.posexplode("x").alias("place", "e")).select("idx", "place", "e.tag", F.decode("e.data", "UTF-8").alias("data"))), "SELECT idx, 0 AS place, 1 AS tag, archive AS data FROM members UNION ALL SELECT idx, 1, 19270, sha1 FROM members UNION ALL SELECT idx, 2, 1, name FROM members")
 add("extras_lookup", on_members(lambda m: _fields(m).select("idx", F.decode(X.lookup(F.col("x"), 1), "UTF-8").alias("first"), F.decode(X.last(F.col("x"), 1), "UTF-8").alias("last"), X.has_duplicates(F.col("x")).alias("doubled"), F.size(X.without(F.col("x"), 1)).alias("left"))), "SELECT idx, archive AS first, name AS last, true AS doubled, 1 AS \"left\" FROM members")
 
+add("layout_findings", on_members(lambda m: verify.layout(_spans(m))), _SP + "SELECT archive, idx, 'overlap' AS \"check\", 3 AS severity, (reached - beg)::BIGINT::VARCHAR AS detail FROM b WHERE beg < reached UNION ALL SELECT archive, idx, 'gap', 1, (beg - reached)::BIGINT::VARCHAR FROM b WHERE beg > reached")
+_tagged = lambda m: m.select("archive", "idx", F.expr(f"cast(transform(element_at(array(array(1, 23), array(1, 9, 26), array(1, 1)), cast(idx % 3 as int) + 1), t -> struct(t as tag, cast('' as binary) as data)) as {X.TYPE})").alias("extras"))
+add("field_findings", on_members(lambda m: verify.fields(_tagged(m), (1, 23))), "SELECT archive, idx, 'field' AS \"check\", 2 AS severity, CASE idx % 3 WHEN 1 THEN '9,1A' ELSE 'repeated' END AS detail FROM members WHERE idx % 3 <> 0")
+
+
+def _cataloged(m: DataFrame) -> DataFrame:
+    """Members with attributes, flags and systems by rule, as a catalog has them."""
+    cols = {
+        "host": "element_at(array(0, 3, 11, 30, 25), cast(idx % 5 as int) + 1)", "version_made": "cast(20 + idx % 45 as int)", "external_attr": "shiftleft(idx * 7919 % 65536, 16) + idx % 64", "internal_attr": "cast(idx % 2 as int)",
+        "flags": "cast(idx % 16 as int)", "encrypted": "idx % 2 = 1", "aes_version": "0", "aes_strength": "0", "real_method": "method", "extras": f"if(idx % 3 = 0, array(named_struct('tag', 1, 'data', cast('' as binary))), cast(array() as {X.TYPE}))",
+        "name": "concat(name, if(idx % 7 = 0, '.Exe', ''))", "crc": "crc32(text)",
+    }
+    return m.withColumns({c: F.expr(e) for c, e in cols.items()})
+
+
+_BIT = "CASE WHEN x & {b} <> 0 THEN '{y}' ELSE '{n}' END"
+_UNIX = "CASE x >> 12 WHEN 4 THEN 'd' WHEN 8 THEN '-' WHEN 10 THEN 'l' WHEN 6 THEN 'b' WHEN 2 THEN 'c' WHEN 1 THEN 'p' WHEN 12 THEN 's' ELSE '?' END" + "".join(
+    f" || {_BIT.format(b=r, y='r', n='-')} || {_BIT.format(b=r // 2, y='w', n='-')} || CASE WHEN x & {s} <> 0 THEN {_BIT.format(b=r // 4, y=c, n=c.upper())} ELSE {_BIT.format(b=r // 4, y='x', n='-')} END" for r, s, c in ((256, 2048, "s"), (32, 1024, "s"), (4, 512, "t"))
+)
+_SIZE = "CASE WHEN idx % 2 = 1 AND csize >= 12 THEN csize - 12 ELSE csize END"
+_RE = PERMILLE_SQL.format(u="usize", c=f"({_SIZE})")
+add("zipinfo_columns", on_members(lambda m: listing.columns(_cataloged(m))), f""", c AS (SELECT *, (idx * 7919) % 65536 AS x, idx % 64 AS low, [0, 3, 11, 30, 25][idx % 5 + 1] AS h, name || CASE WHEN idx % 7 = 0 THEN '.Exe' ELSE '' END AS n, {_RE} AS r FROM members),
+d AS (SELECT *, h IN (0, 11) AND (h <> 0 OR x & 448 <> 256 + CASE WHEN low & 1 = 0 THEN 128 ELSE 0 END + CASE WHEN low & 16 <> 0 THEN 64 ELSE 0 END) AS dos FROM c)
+SELECT archive, n AS name, CASE WHEN dos THEN CASE WHEN low & 24 = 8 THEN 'V' WHEN low & 16 <> 0 THEN 'd' ELSE '-' END || 'r' || CASE WHEN low & 1 <> 0 THEN '-' ELSE 'w' END || CASE WHEN low & 16 <> 0 OR (low & 24 <> 8 AND idx % 7 = 0) THEN 'x' ELSE '-' END || CASE WHEN low & 32 <> 0 THEN 'a' ELSE '-' END || CASE WHEN low & 2 <> 0 THEN 'h' ELSE '-' END || CASE WHEN low & 4 <> 0 THEN 's' ELSE '-' END ELSE {_UNIX} END AS mode,
+       ((20 + idx % 45) // 10)::VARCHAR || '.' || ((20 + idx % 45) % 10)::VARCHAR AS version, CASE h WHEN 0 THEN 'fat' WHEN 3 THEN 'unx' WHEN 11 THEN 'ntf' WHEN 30 THEN 'ath' ELSE '???' END AS host, usize, csize, CASE WHEN idx % 2 = 1 THEN 'T' ELSE 'b' END AS kind,
+       CASE WHEN idx % 3 = 0 THEN CASE WHEN idx & 8 <> 0 THEN 'X' ELSE 'x' END WHEN idx & 8 <> 0 THEN 'l' ELSE '-' END AS fields, CASE WHEN r < 0 THEN -((-r + 5) // 10) ELSE (r + 5) // 10 END AS percent,
+       CASE method WHEN 0 THEN 'stor' WHEN 8 THEN 'def' || ['N', 'X', 'F', 'S'][(idx >> 1) % 4 + 1] WHEN 12 THEN 'bzp2' WHEN 14 THEN 'lzma' ELSE 'zstd' END AS code FROM d""")
+add("list_encrypted", on_members(lambda m: listing.verbose(_cataloged(m).withColumn("crc", (F.col("idx") * 65537) % 2**32)).select("archive", "idx", "csize", "ratio_permille", "crc")), f"SELECT archive, idx, {_SIZE} AS csize, {_RE} AS ratio_permille, printf('%08x', (idx * 65537) % 4294967296) AS crc FROM members")
+
 _sig = lambda m: m.select("archive", "idx", F.col("text").alias("raw"), X.append(F.array().cast(X.TYPE), 0x4B46, F.concat(F.lit("MD5").cast("binary"), F.unhex(F.md5(F.concat("text", F.expr("if(idx % 17 = 0, 'x', '')")))))).alias("extras"))
 add("fwkcs_verify", on_members(lambda m: verify.signatures(_sig(m))), "SELECT archive, idx, 'signature' AS \"check\", 2 AS severity, md5(text || 'x') AS detail FROM members WHERE idx % 17 = 0")
 _time = lambda: F.concat(F.unhex(F.lpad(F.hex(F.col("idx") % 4), 2, "0")), S.le(F.col("idx") * 1000, 4))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from archlake.functions import glob
 from archlake.functions import scalars as S
-from archlake.operators import optimize, split, sync, verify
+from archlake.operators import listing, optimize, split, sync, verify
 from archlake.sources import ziparchive, zipwriter
 
 RNG = random.Random(475)
@@ -44,6 +44,18 @@ def test_catalog_and_contents(spark, tmp_path):
     assert not verify.headers(m, l).take(1)
 
 
+def test_strict_and_columns(spark, tmp_path):
+    make(tmp_path / "x.zip")
+    m, l = ziparchive.read(spark, str(tmp_path)), ziparchive.read(spark, str(tmp_path), "local_headers")
+    assert not verify.strict(m, l, ()).take(1)
+    moved = m.withColumn("offset", F.when(F.col("idx") == 2, F.col("offset") - 1).otherwise(F.col("offset")))
+    assert [(r.idx, r.check, r.detail) for r in verify.strict(moved, l, ()).collect()] == [(2, "overlap", "1")]
+    line = listing.columns(m).where("name = 'a/one.txt'").first()
+    assert (line["mode"], line.version, line.host, line.kind, line.fields, line.code) == ("?rw-------", "2.0", "unx", "b", "-", "defN")
+    mode = lambda x: spark.range(1).select(listing.unix_mode(F.lit(x))).first()[0]
+    assert [mode(x) for x in (0o100644, 0o40755, 0o120777, 0o104711, 0o102640, 0o41776)] == ["-rw-r--r--", "drwxr-xr-x", "lrwxrwxrwx", "-rws--x--x", "-rw-r-S---", "drwxrwxrwT"]
+
+
 def test_salvage_and_damage(spark, tmp_path):
     make(tmp_path / "x.zip")
     data = (tmp_path / "x.zip").read_bytes()
