@@ -4,9 +4,11 @@ import gzip
 import hashlib
 import io
 import random
+import tracemalloc
 import zipfile
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,43 @@ def test_sums_after_data():
     assert [(r["usize"], r["crc"]) for r in ziparchive.salvaged(made)] == [(len(data), row["crc"])] * 2
 
 
+def _members(n, size):
+    data = RNG.randbytes(size)
+    return [{"archive": "x.zip", "idx": i, "name": f"{i:03d}", "method": 0, "payload": data, "crc": __import__("zlib").crc32(data), "usize": size, "dos_datetime": 0x5A210000, "comment": ""} for i in range(n)]
+
+
+@pytest.mark.parametrize("volume_size", [None, 1 << 16, 3 << 20])
+def test_archives_are_not_held(volume_size):
+    """An archive of 64 MB is written and read by a task that holds a few MB."""
+    one = _members(1, 1 << 20)[0]
+    parts = (pd.DataFrame([one | {"name": f"{i:03d}", "payload": bytes(bytearray(one["payload"]))}]) for i in range(64))
+    tracemalloc.start()
+    n = 0
+    for frame in ziparchive.frames_of_pieces(zipwriter.pieces_of(parts, volume_size), "entries", "FAILFAST"):
+        n += sum(__import__("zlib").crc32(p) == c for p, c in zip(frame["payload"], frame["crc"]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 64 and most < 48 << 20
+
+
+@pytest.mark.parametrize("volume_size", [None, 1 << 16])
+def test_pieces_are_the_archive(spark, volume_size):
+    rows = _members(20, 50000)
+    df = spark.createDataFrame(pd.DataFrame(rows)).repartition(7)
+    got = sorted((r.volume, r.at, bytes(r.content)) for r in zipwriter.pieces(df, volume_size).collect())
+    volumes = [b"".join(c for v, _, c in got if v == k) for k in range(got[-1][0] + 1)]
+    assert volumes == zipwriter.build_volumes(rows, b"", volume_size) and max(len(c) for *_, c in got) <= zipwriter.PIECE
+    if not volume_size:
+        with zipfile.ZipFile(io.BytesIO(volumes[0])) as z:
+            assert z.testzip() is None and len(z.namelist()) == 20
+    e = ziparchive.tables_of_pieces(zipwriter.pieces(df, volume_size), "entries", "FAILFAST").collect()
+    assert [(r.idx, r.name, r.crc, bytes(r.payload)) for r in e] == [(r["idx"], r["name"], r["crc"], r["payload"]) for r in rows]
+    # What isn't whole from its start on is an error of the caller's.
+    cut = zipwriter.pieces(df, volume_size).where("volume > 0 or at > 0")
+    with pytest.raises(Exception, match="out of order"):
+        ziparchive.tables_of_pieces(cut, "members").collect()
+
+
 def test_parts_and_notes(spark, tmp_path):
     make(tmp_path / "x.zip")
     assert zipwriter.write(rewrite.parted(entries(spark, tmp_path), 80000), str(tmp_path / "out")) == 3
