@@ -114,3 +114,22 @@ def test_legacy_in_archives(spark, tmp_path):
     p = ziparchive.read(spark, str(tmp_path), "payloads")
     assert p.count() == len(data)
     assert not verify.contents(p).take(1)
+
+
+def test_sealed_together():
+    """Many texts at once, each under its own salt, as each by itself."""
+    data = [RNG.randbytes(n) for n in (0, 1, 15, 16, 17, 5000, 70000, 0)]
+    for strength in (1, 2, 3):
+        salts = [RNG.randbytes(4 + 4 * strength) for _ in data]
+        sealed = crypto.aes_encrypt_all(data, b"pw", strength, salts)
+        assert sealed == [crypto.aes_encrypt(d, b"pw", strength, s) for d, s in zip(data, salts)]
+        assert [crypto.aes_decrypt(s, b"pw", strength) for s in sealed] == data
+    assert len(set(crypto.aes_encrypt_all([b"same"] * 50, b"pw"))) == 50
+
+
+def test_keys_are_made_in_more_tasks_than_archives(spark, tmp_path):
+    """One archive's members are opened by several tasks."""
+    from archlake.plans import registry
+
+    seen = registry._sealed(spark, "/root/testdata/sf0.001").withColumn("p", F.spark_partition_id()).groupBy("archive").agg(F.countDistinct("p").alias("n")).collect()
+    assert seen and all(r.n > 1 for r in seen)
