@@ -144,3 +144,9 @@ def test_packing_and_methods():
     assert optimize.selected("all,-winzip") == [10] and optimize.selected("store") == [0]
     with pytest.raises(ValueError):
         optimize.selected("store,-store")
+
+
+def test_sizes_beyond_all_units(spark):
+    """Units go on to T, and what has none gets a question mark, as the format's own tool writes it."""
+    df = spark.createDataFrame([(10239 << 30,), (10240 << 30,), (15 << 40,), (999 << 40,), (1000 << 40,), (10240 << 40,)], "n long")
+    assert [r[0] for r in df.select(S.size_text(F.col("n"))).collect()] == ["9.9T", "10T", "15T", "999T", "0.9?", "10?"]
