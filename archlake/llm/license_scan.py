@@ -155,7 +155,9 @@ def scan(files: DataFrame, line_threshold: float = 0.7, file_threshold: float =
     length = [math.sqrt(sum((c * idf[t]) ** 2 for t, c in tf.items())) for _, tf in templates]
     rows = [(i, name, t, c * idf[t] * idf[t] / length[i]) for i, (name, tf) in enumerate(templates) for t, c in sorted(tf.items())]
     parts = spark.createDataFrame(rows, "form int, license string, t string, part double")
-    dots = counts.join(F.broadcast(parts), "t").groupBy("key", "at", "form", "license").agg(F.sum(F.col("tf") * F.col("part")).alias("dot"))
+    # A term is in many templates: a piece's terms are brought together first, so that its rows by template needn't move.
+    together = counts.select("key", "at", "t", "tf").repartition("key", "at")
+    dots = together.join(F.broadcast(parts), "t").groupBy("key", "at", "form", "license").agg(F.sum(F.col("tf") * F.col("part")).alias("dot"))
     limit = F.when(F.col("at") == -1, file_threshold).otherwise(line_threshold)
     close = tables.cut(dots.join(shortest, ["key", "at"]).where(F.col("dot") >= (limit - 0.001) * F.col("shortest")).select("key", "at", "license", "dot"))
     # The full vectors of the pieces left; a repeated row's is a multiple of the row's, as is its product.
