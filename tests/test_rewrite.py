@@ -179,3 +179,9 @@ def test_first_streams_and_names(spark, tmp_path):
     (tmp_path / "list").write_text("a.txt\n\nb c.txt\r\n")
     assert [r.name for r in extract.names(spark, str(tmp_path / "list")).collect()] == ["a.txt", "b c.txt"]
     assert datetime(2026, 1, 2, 3, 4, 6) in {r.mtime for r in extract.files(ziparchive.read(spark, str(tmp_path), "payloads")).collect()}
+
+
+def test_archives_are_read_once_for_references(spark, tmp_path):
+    make(tmp_path / "x.zip")
+    for how in (rewrite.deduplicated, rewrite.expanded):
+        assert "MapInPandas" not in how(entries(spark, tmp_path))._jdf.queryExecution().toString()
