@@ -6,10 +6,11 @@ as a licence (LICENSE, COPYING and the like) is scored as a whole too. All
 terms of all files, not only the templates', are counted for their inverse
 document frequency. A piece can only reach the threshold with one of its
 template's heavy terms (those without which the rest of the template is too
-short a vector), so only pieces that hold such a term are scored. No weight is
-less than 1, which bounds a vector's length from below before its other terms
-are weighed: pieces that are too long for their threshold even so go no
-further. Neither step loses a notice. Between licences that differ in a version
+short a vector, the rarest in files first), so only pieces that hold such a term
+are scored. No weight is less than 1, which bounds a vector's length from below
+before its other terms are weighed: pieces that are too long for their threshold
+even so go no further. Neither step loses a notice. Both are done in the task
+that reads the text: only pieces near a template go on, and texts don't move. Between licences that differ in a version
 or a clause that term decides: a piece must have one of the licence's own terms
 and none of another's. A file without a notice of its own inherits from the
 licence file in its nearest ancestor directory, by joining all its ancestors'
@@ -27,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +75,7 @@ DECIDES = {
     "LGPL-3.0": (["lesser", "lgpl"], ["2.1", "affero", "agpl"]),
     "MPL-2.0": (["2.0"], []),
 }
+TELLING = sorted({t for some, none in DECIDES.values() for t in some + none})
 #: A clause by which whole files of these two licences differ.
 CLAUSE, WITH_CLAUSE, WITHOUT_CLAUSE = r"(?i)\bendorse\s+or\s+promote\b|\bBSD[ -]3", "BSD-3-Clause", "BSD-2-Clause"
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice|unlicense)([._-][^/]*)?$|(?i)[.]licen[cs]e$"
@@ -90,10 +93,10 @@ def _templates() -> list[tuple[str, Counter]]:
 
 
 def heavy_terms(weights: dict[str, float], tf: Counter, threshold: float) -> set[str]:
-    """The fewest heaviest terms without which the template's rest can't reach the threshold."""
+    """Terms without which the template's rest can't reach the threshold; the rarest in files come first, so that few files hold one."""
     mass = {t: (n * weights[t]) ** 2 for t, n in tf.items()}
     left, whole, out = sum(mass.values()), sum(mass.values()), set()
-    for t in sorted(mass, key=lambda t: (-mass[t], t)):
+    for t in sorted(mass, key=lambda t: (-weights[t], -mass[t], t)):
         if left < threshold**2 * whole:
             break
         out.add(t)
@@ -130,11 +133,25 @@ def decided(license_: Column, own: Column) -> Column:
     return out
 
 
+def _numbers(values: Iterable[float]) -> Column:
+    """The numbers as one array, which Spark folds into a literal."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _run(last: int | Column, length: int | Column, mass: float | Column) -> Column:
+    parts = ((last, "last", "int"), (length, "length", "long"), (mass, "mass", "double"))
+    return F.struct(*((x if isinstance(x, Column) else F.lit(x)).cast(kind).alias(name) for x, name, kind in parts))
+
+
+def _more(a: Column, i: Column, weights: Column) -> Column:
+    """Adds a number to the squares of all counts by weight; numbers come in order, so a count is a run of one number."""
+    length = F.when(a["last"] == i, a["length"]).otherwise(0)
+    return _run(i, length + 1, a["mass"] + (2 * length + 1) * F.pow(weights[i], 2))
+
+
 def scan(files: DataFrame, line_threshold: float = 0.7, file_threshold: float = 0.3) -> DataFrame:
     """files: id, path, text. Returns id, path, license, found_in (header, file, inherited), score_permille, from_dir."""
-    spark = files.sparkSession
     files = files.select(F.col("id"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    files = files.withColumn("key", F.unhex(F.md5(F.to_json(F.struct("id", "path", "text")))))
     templates = _templates()
     vocabulary = sorted(set().union(*(tf for _, tf in templates)))
     # Of all files: how many there are and how many hold each term.
@@ -142,46 +159,49 @@ def scan(files: DataFrame, line_threshold: float = 0.7, file_threshold: float =
     held_by = tables.cut(files.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("t")).groupBy("t").agg(F.count("*").alias("df")))
     df = dict(held_by.where(F.col("t").isin(vocabulary)).collect())  # the vocabulary bounds the rows
     idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
-    heavy = {t: set().union(*(heavy_terms(idf, tf, x) for _, tf in templates)) for t, x in (("line", line_threshold), ("file", file_threshold))}
+    heavy = {t: set().union(*(heavy_terms(idf, tf, max(0, x - 0.001)) for _, tf in templates)) for t, x in (("line", line_threshold), ("file", file_threshold))}
     word = lambda terms: f"(?i)(?<![a-z0-9]){any_of(terms)}(?![a-z0-9])"
-    marked = files.where(F.col("text").rlike(word(heavy["line"])) | (F.col("path").rlike(NAMED) & F.col("text").rlike(word(heavy["file"]))))
-    pieces = marked.select("key", F.explode(F.filter(_pieces(F.col("text"), F.col("path")), lambda x: x["text"].rlike(word(heavy["line"])) | (x["at"] == -1))).alias("x")).select("key", "x.at", _terms(F.col("x.text")).alias("terms"))
-    weights = F.broadcast(spark.createDataFrame([(t, idf[t]) for t in vocabulary], "t string, w double"))  # as many rows as the templates have terms
-    known = pieces.select("key", "at", F.size("terms").alias("n"), F.explode("terms").alias("t")).join(weights, "t")
-    counts = tables.cut(known.groupBy("key", "at", "t").agg(F.count("*").alias("tf"), F.first("n").alias("n"), F.first("w").alias("w")))
-    # Other terms weigh 1 at least. Repeated rows multiply tf, not n, and so only loosen the bound.
-    other = F.greatest(F.lit(0), F.first("n") - F.sum("tf"))
-    shortest = counts.groupBy("key", "at").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("w"), 2)) + other).alias("shortest"))
+    marked = F.col("text").rlike(word(heavy["line"])) | (F.col("path").rlike(NAMED) & F.col("text").rlike(word(heavy["file"])))
+    # A row for each file, with no piece, and one for each of its pieces: what is near a template is found where the text is read, so texts don't move.
+    pieces = F.filter(_pieces(F.col("text"), F.col("path")), lambda x: x["text"].rlike(word(heavy["line"])) | (x["at"] == -1))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("text")))
+    rows = files.select("*", F.monotonically_increasing_id().alias("row"), marked.alias("marked"))
+    rows = rows.select("row", "id", "path", F.when(F.col("marked"), F.col("text").rlike(CLAUSE)).alias("clause"), F.explode(F.when(F.col("marked"), F.concat(none, pieces)).otherwise(none)).alias("x"))
+    rows = rows.select("row", "id", "path", "clause", "x.at", _terms(F.col("x.text")).alias("terms"))
+    # The templates' terms by number, in order, and their weights; the other terms' weights aren't known yet.
+    number = lambda t: F.array_position(F.array(*map(F.lit, vocabulary)), t).cast("int") - 1
+    known = F.sort_array(F.transform(F.filter("terms", lambda t: t.isin(vocabulary)), number))
+    own = F.array_intersect("terms", F.array(*map(F.lit, TELLING)))
+    rows = rows.select("row", "id", "path", "clause", "at", known.alias("known"), F.filter("terms", lambda t: ~t.isin(vocabulary)).alias("others"), own.alias("own"))
+    rows = rows.select("*", F.aggregate("known", _run(-1, 0, 0.0), lambda a, i: _more(a, i, _numbers(idf[t] for t in vocabulary)))["mass"].alias("mass"))
     length = [math.sqrt(sum((c * idf[t]) ** 2 for t, c in tf.items())) for _, tf in templates]
-    rows = [(i, name, t, c * idf[t] * idf[t] / length[i]) for i, (name, tf) in enumerate(templates) for t, c in sorted(tf.items())]
-    parts = spark.createDataFrame(rows, "form int, license string, t string, part double")
-    # A term is in many templates: a piece's terms are brought together first, so that its rows by template needn't move.
-    together = counts.select("key", "at", "t", "tf").repartition("key", "at")
-    dots = together.join(F.broadcast(parts), "t").groupBy("key", "at", "form", "license").agg(F.sum(F.col("tf") * F.col("part")).alias("dot"))
-    limit = F.when(F.col("at") == -1, file_threshold).otherwise(line_threshold)
-    close = tables.cut(dots.join(shortest, ["key", "at"]).where(F.col("dot") >= (limit - 0.001) * F.col("shortest")).select("key", "at", "license", "dot"))
-    # The full vectors of the pieces left; a repeated row's is a multiple of the row's, as is its product.
-    left = tables.cut(close.select("key", "at").distinct())
-    text_of = files.join(left.select("key").distinct(), "key", "left_semi")
-    full = text_of.select("key", F.explode(_pieces(F.col("text"), F.col("path"))).alias("x")).select("key", "x.at", "x.text").join(left, ["key", "at"], "left_semi")
-    terms = tables.cut(full.select("key", "at", F.explode(_terms(F.col("text"))).alias("t")).groupBy("key", "at", "t").agg(F.count("*").alias("tf")))
+    parts = _numbers(tf[t] * idf[t] * idf[t] / length[i] for i, (_, tf) in enumerate(templates) for t in vocabulary)
+    forms = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(i * len(vocabulary)).alias("first")) for i, (name, _) in enumerate(templates)))
+    dots = F.transform(forms, lambda f: F.struct(f["license"].alias("license"), F.aggregate("known", F.lit(0.0), lambda a, i: a + parts[f["first"] + i]).alias("dot")))
+    # Other terms weigh 1 at least.
+    limit = (F.when(F.col("at") == -1, file_threshold).otherwise(line_threshold) - 0.001) * F.sqrt(F.col("mass") + F.size("others"))
+    near = F.filter(dots, lambda d: (d["dot"] > 0) & (d["dot"] >= limit))
+    # The piece's number also keeps Spark from computing the templates once more for the filter.
+    rows = rows.select("row", "id", "path", "clause", "at", "others", "own", "mass", near.alias("near"), F.monotonically_increasing_id().alias("piece"))
+    rows = tables.cut(rows.where(F.col("at").isNull() | (F.size("near") > 0)))
+    close = rows.where("at is not null")
+    # The full vectors of the pieces left.
+    counts = close.select("piece", F.explode("others").alias("t")).groupBy("piece", "t").agg(F.count("*").alias("tf"))
     weight = F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1
-    norms = terms.join(held_by, "t").groupBy("key", "at").agg(F.sqrt(F.sum(F.pow(F.col("tf") * weight, 2))).alias("norm"))
-    telling = sorted({t for some, none in DECIDES.values() for t in some + none})
-    own_terms = terms.where(F.col("t").isin(telling)).groupBy("key", "at").agg(F.collect_set("t").alias("own"))
-    clause = text_of.select("key", F.col("text").rlike(CLAUSE).alias("clause")).distinct()
-    scored = close.join(norms, ["key", "at"]).join(own_terms, ["key", "at"], "left").join(clause, "key")
-    scored = scored.where(decided(F.col("license"), F.coalesce("own", F.array().cast("array<string>"))))
+    rest = counts.join(held_by, "t").groupBy("piece").agg(F.sum(F.pow(F.col("tf") * weight, 2)).alias("rest"))
+    scored = close.select("row", "path", "clause", "at", "own", "mass", "piece", F.explode("near").alias("d")).join(rest, "piece", "left").select("*", "d.*")
+    scored = scored.where(decided(F.col("license"), F.col("own")))
     scored = scored.where(((F.col("license") != WITH_CLAUSE) | F.col("clause")) & ((F.col("license") != WITHOUT_CLAUSE) | ~F.col("clause")))
-    scored = tables.cut(scored.select("key", "at", "license", F.round(1000 * F.col("dot") / F.col("norm")).cast("int").alias("score")))
+    norm = F.sqrt(F.col("mass") + F.coalesce("rest", F.lit(0.0)))
+    scored = tables.cut(scored.select("row", "path", "at", "license", F.round(1000 * F.col("dot") / norm).cast("int").alias("score")))
     best = lambda x: F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias(x)
-    header = scored.where((F.col("at") != -1) & (F.col("score") >= 1000 * line_threshold)).groupBy("key").agg(best("h_license"), F.max("score").alias("h_score"))
-    whole = scored.where((F.col("at") == -1) & (F.col("score") >= 1000 * file_threshold)).groupBy("key").agg(best("f_license"), F.max("score").alias("f_score"))
-    own = tables.cut(header.join(whole, "key", "full"))
+    header = scored.where((F.col("at") != -1) & (F.col("score") >= 1000 * line_threshold)).groupBy("row").agg(best("h_license"), F.max("score").alias("h_score"))
+    whole = scored.where((F.col("at") == -1) & (F.col("score") >= 1000 * file_threshold)).groupBy("row", "path").agg(best("f_license"), F.max("score").alias("f_score"))
+    own = tables.cut(header.join(whole, "row", "full"))
     parent = F.regexp_replace("path", "/?[^/]*$", "")
-    rows = tables.cut(files.select("key", "id", "path", parent.alias("dir")))
-    named = rows.join(own, "key", "left")
-    held = tables.cut(named.where("f_license is not null").groupBy(F.col("dir").alias("up")).agg(F.min_by(F.struct("f_license", "f_score"), F.struct(-F.col("f_score"), F.col("path"))).alias("d")))
+    rows = rows.where("at is null").select("row", "id", "path", parent.alias("dir"))
+    named = rows.join(own.drop("path"), "row", "left")
+    held = tables.cut(own.where("f_license is not null").groupBy(parent.alias("up")).agg(F.min_by(F.struct("f_license", "f_score"), F.struct(-F.col("f_score"), F.col("path"))).alias("d")))
     # All ancestors of a directory, itself and the root among them.
     up = F.transform(F.sequence(F.lit(0), F.size(F.split("dir", "/"))), lambda i: F.array_join(F.slice(F.split("dir", "/"), 1, i), "/"))
     dirs = rows.select("dir").distinct().select("dir", F.explode(F.array_distinct(up)).alias("up"))

@@ -132,6 +132,37 @@ def test_licences_that_differ_in_a_term_or_a_clause(spark):
     assert got == {p: want for p, (_, want) in files.items()}
 
 
+def test_licence_scan_leaves_texts_where_they_are(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.getrandbits(30)}" for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, f"d{i}/a.c", f"{say(1000)}\nReleased under the MIT License.\n{say(1000)}") for i in range(400)]
+    rows += [rows[0], rows[0], (1000, "e/a.c", "  \n\n"), (1001, "d7/b.c", None)]
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        empty = spark.sparkContext._jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), empty)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no table is small
+    try:
+        files = spark.createDataFrame(rows, "id long, path string, text string").repartition(4).localCheckpoint()
+        before = shuffled()
+        got = license_scan.scan(files).collect()
+        moved = sum(n for k, n in shuffled().items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.id, r.license, r.found_in) for r in got) == sorted([(i, "MIT", "header") for i in (0, 0, *range(400))] + [(1000, None, None), (1001, None, None)])
+    assert moved < sum(len(t or "") for *_, t in rows) / 10
+
+
+def test_heavy_terms_are_rare_ones_where_those_do():
+    weights = {"or": 2.0, "warranty": 11.0, "liability": 11.0, "copyright": 9.0}
+    assert license_scan.heavy_terms(weights, Counter({"or": 9, "warranty": 1, "liability": 1, "copyright": 1}), 0.9) == {"warranty", "liability"}
+
+
 def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
     names = "_id long, _key string, key long, doc long, h int, one boolean, node long"
     text = " ".join(str(i) for i in range(40))
